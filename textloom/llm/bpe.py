@@ -163,6 +163,6 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     found = parts.mapInArrow(spans, "row string, doc_id long, n long, start long, end long, head array<long>, tail array<long>").dropDuplicates(["row", "start"])
     cut = found.groupBy("row").applyInArrow(pieces, "row string, a long, b long")
     ids = long_rows.dropDuplicates(["row"]).join(cut, "row").select("row", "doc_id", "a", F.expr("substring(text, cast(a + 1 as int), cast(b - a as int))").alias("piece")).mapInArrow(piece_ids, "row string, doc_id long, a long, ids array<int>")
-    again = copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    again = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     whole_long = ids.join(again, "row").groupBy("row", "copy").applyInArrow(joined, schema)
     return short.unionByName(whole_long)
