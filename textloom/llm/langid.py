@@ -18,7 +18,7 @@ FIT_DOCS = 800
 CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected when its cosine is under this share of the cosine that all but 1 in 200 training texts of its centroid reach.
-REJECT = 0.5
+REJECT = 0.25
 UNKNOWN = "und"
 #: Code points whose n-grams are counted at a time.
 BLOCK = 1 << 20

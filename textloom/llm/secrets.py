@@ -42,9 +42,9 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the fixed patterns, leftmost and non-overlapping within a kind, those too short dropped."""
-    found = []
+    found, low = [], text.lower()
     for kind, pattern, group, least in BASE:
-        if kind == "assign" and not any(w in low for low in (text.lower(),) for w in _ASSIGN_WORDS):
+        if kind == "assign" and not any(w in low for w in _ASSIGN_WORDS):
             continue
         if kind == "access" and "AKIA" not in text:
             continue
@@ -114,5 +114,6 @@ def digest(found: DataFrame) -> DataFrame:
     """The counts and digests of a scan's spans."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "novel")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
     return found.select("doc_id", *counts[:3], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), counts[3])
