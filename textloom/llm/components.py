@@ -39,4 +39,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now, before, state = following, state, _state(following.df)
         if state == before:
             break
-    return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
