@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import bpe, chat_format, decontam, langid, line_dedup, lm_score, quality, secrets, simhash_dedup
+from textloom.llm import ann, bpe, chat_format, decontam, langid, line_dedup, lm_score, quality, secrets, simhash_dedup
 from textloom.storage import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -58,6 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_nn_descent": op2_nn_descent,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
