@@ -136,25 +136,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, idf, np.array(centers).reshape(-1, BUCKETS), np.array(lang_of, dtype=int), np.array(least))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id as doc_id by default) with lang_pred, score (cosine, 0 to 1) and rejected.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) for each row; score is the cosine, from 0 to 1.
 
     lang_pred is ``und`` where the text is null or has no letter (rejected, score 0); every other text gets its nearest language, and
-    ``rejected`` says that it lies too far from it. Rows are kept one by one; no shuffle.
+    ``rejected`` says that it lies too far from it. Rows are kept one by one, other columns are never read, and nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    source = docs.select(*kept, F.col(text_col).cast("string").alias("text__")).withColumnRenamed("text__", "__text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shared.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            rows = [shared.value.predict(t.as_py()) for t in batch.column(1)]
             lang, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return source.mapInArrow(predicted, f"{schema}, lang_pred string, score double, rejected boolean")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(predicted, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([not shared.value.predict(t.as_py())[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
