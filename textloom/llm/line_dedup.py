@@ -1,9 +1,11 @@
 """Fuzzy line de-duplication with SimHash, pigeonhole blocks and edit distance. Built-in functions only.
 
-Lines are lower-cased and stripped of punctuation; lines of fewer than MIN_WORDS words are left alone. A 64-bit SimHash of a line's words is
-cut into four blocks. Two fingerprints that differ in at most two bits agree in two blocks, so lines meet under the six pairs of blocks, 32
-bits each, and are verified by edit similarity. Within a bucket each line is first compared with one representative; only lines that this
-leaves in different groups are then compared with each other, so a bucket of copies costs a comparison per line and not per pair.
+Lines are lower-cased and read as words; lines of fewer than MIN_WORDS words are left alone. A line's 64-bit SimHash is taken over the
+SAMPLE smallest of its distinct word hashes, a sample that like lines share, so that a small edit mostly leaves it as it is. It is cut into
+four blocks. Two fingerprints that differ in at most two bits agree in two blocks, so lines meet under the six pairs of blocks, 32 bits
+each, and are verified by edit similarity. Within a bucket each line is first compared with one head for each class of length, its own and
+the next; only lines that this leaves in different groups are then compared with each other, so a bucket of copies costs a few comparisons
+per line and not one per pair.
 """
 
 from __future__ import annotations
@@ -18,43 +20,46 @@ from textloom.storage import stored
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
+SAMPLE = 16
 #: Most differing bits of a pair that is verified; up to two are met with certainty, more if the differing bits leave two blocks alike.
 MAX_BITS = 8
 #: Lines over so many characters are verified by their five-word shingles, as edit distance takes the product of two lengths.
-LONG, SHINGLE = 4000, 5
-#: Words counted at a time in lanes of 8 bits.
-RUN = 127
-_EIGHT, _WIDE, _ONES = 0x0101010101010101, 0x000000FF000000FF, 0x0000000100000001
+LONG, SHINGLE = 1000, 5
+#: What stands between words, after lower-casing.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_EIGHT = 0x0101010101010101
+
+
+def words(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), GAP), "")
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.array_join(words(line), " ")
+
+
+def sampled(hashes: Column) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SAMPLE)
+
 
+def simhash(sample: Column) -> Column:
+    """SimHash of at most 63 hashes: a bit is set where it is set in over half of them.
 
-def _run_counts(hashes: Column) -> Column:
-    """Counters of the 64 bits over at most RUN hashes: element k has those of the bits k, 8 + k, ... in its eight bytes."""
+    Eight longs count all 64 bits at once, long k having the counters of the bits k, 8 + k, ... in its eight bytes. Adding what a counter
+    lacks to 64 then moves the answer into bit 6 of its byte.
+    """
     names = [f"c{k}" for k in range(8)]
     zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
     plus = lambda a, h: F.struct(*((a[n] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_EIGHT))).alias(n) for k, n in enumerate(names)))
-    return F.aggregate(hashes, zero, plus, lambda a: F.array(*(a[n] for n in names)))
-
-
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words, a bit set where it is set in over half of the words' XXH64."""
-    n = F.size(words)
-    runs = lambda h: F.transform(numbers(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda c: _run_counts(F.slice(h, c * RUN + 1, RUN)))
-    widen = lambda r: F.array(*(F.shiftrightunsigned(r[k], 8 * o).bitwiseAND(F.lit(_WIDE)) for o in range(4) for k in range(8)))
-    zero = F.array_repeat(F.lit(0).cast("long"), 32)
-    totals = F.aggregate(let(F.transform(words, lambda w: F.xxhash64(w)), runs), zero, lambda a, r: F.zip_with(a, widen(r), lambda x, y: x + y))
-    over = (F.lit((1 << 30) - 1).cast("long") - F.floor(n / 2)) * F.lit(_ONES)
+    lack = (F.lit(63).cast("long") - F.floor(F.size(sample) / 2)) * F.lit(_EIGHT)
 
-    def bits(t: Column) -> Column:
+    def bits(a: Column) -> Column:
         value = F.lit(0).cast("long")
-        for at in range(32):  # element 8 * o + k has the counters of the bits 8 * o + k and 32 + 8 * o + k
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(t[at] + over, 30).bitwiseAND(F.lit(_ONES)), at))
+        for k, n in enumerate(names):
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(a[n] + lack, 6).bitwiseAND(F.lit(_EIGHT)), k))
         return value
 
-    return let(totals, bits)
+    return F.aggregate(sample, zero, plus, bits)
 
 
 def _doc_key(doc_id: Column, text: Column) -> list[Column]:
@@ -66,10 +71,17 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, line, k1, k2, fp) of every line of MIN_WORDS words or more; ``docs`` has doc_id and text."""
+    """(doc_id, d1, d2, line, k1, k2, fp, size) of every line of MIN_WORDS words or more; ``docs`` has doc_id and text.
+
+    size is the class of the line's length: alike lines differ by one class at most.
+    """
+    place = ["doc_id", "d1", "d2", "line"]
     exploded = docs.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
-    marked = lambda s: let(F.split(s, " "), lambda w: F.when(F.size(w) >= MIN_WORDS, F.struct(F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(1), s).alias("k2"), simhash(w).alias("fp"))))
-    return exploded.select("doc_id", "d1", "d2", "line", let(normalised(F.col("raw")), marked).alias("m")).where("m is not null").select("doc_id", "d1", "d2", "line", "m.k1", "m.k2", "m.fp")
+    told = exploded.select(*place, words(F.col("raw")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    size = F.floor(F.log(F.length(F.array_join("w", " "))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
+    hashed = told.select(*place, size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    drawn = hashed.select(*place, "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), sampled(F.col("h")).alias("sample"))
+    return drawn.select(*place, "k1", "k2", simhash(F.col("sample")).alias("fp"), "size")
 
 
 def _block_keys(fp: Column) -> Column:
@@ -103,20 +115,25 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(k1, k2, n, first, root): every distinct line, its rows, its first place and its connected group (null if it is alone)."""
     place = F.struct("doc_id", "d1", "d2", "line")
-    kinds = stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("fp").alias("fp")), "line-kinds")
-    dealt = kinds.select("k1", "fp", F.explode(_block_keys(F.col("fp"))).alias("key")).repartition("key")
-    heads = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("k1", "fp")).alias("head")).where("n > 1")
-    met = stored(dealt.join(heads, "key").select("key", "k1", "fp", F.col("head.k1").alias("head"), F.col("head.fp").alias("head_fp")), "line-buckets")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
-    first_links = _verified(met.where(near("fp", "head_fp") & (F.col("k1") != F.col("head"))).select(F.col("head").alias("u"), F.col("k1").alias("v")).distinct(), kinds, docs)
+    kinds = stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
+    dealt = kinds.select("k1", "fp", "size", F.explode(_block_keys(F.col("fp"))).alias("key")).repartition("key")
+    cells = dealt.groupBy("key", "size").agg(F.count("*").alias("n"), F.min(F.struct("k1", "fp")).alias("head"))
+    heads = cells.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("size", "head")).alias("heads")).where("n > 1")
+    met = stored(dealt.join(heads.drop("n"), "key"), "line-buckets")
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+    own = F.filter("heads", lambda h: h["size"] == F.col("size"))[0]["head"]["k1"]
+    tried = F.filter("heads", lambda h: (F.abs(h["size"] - F.col("size")) <= 1) & (h["head"]["k1"] != F.col("k1")) & near(h["head"]["fp"], F.col("fp")))
+    star = met.select("k1", F.explode(F.transform(tried, lambda h: h["head"]["k1"])).alias("head"))
+    first_links = _verified(stored(star.select(F.least("k1", "head").alias("u"), F.greatest("k1", "head").alias("v")).distinct(), "line-pairs"), kinds, docs)
 
     roots = connected_components(first_links)
-    classed = met.join(roots, met.k1 == roots.node, "left").select("key", "k1", "fp", "head", F.coalesce("root", "k1").alias("class"))
+    classed = met.select("key", "k1", "fp", "size", (own == F.col("k1")).alias("is_head")).join(roots, F.col("k1") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k1")).drop("node", "root")
     sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    mixed = stored(classed.join(mains, "key").where(F.col("k1") != F.col("head")), "line-mixed")
+    mixed = stored(classed.where(~F.col("is_head")).join(mains, "key"), "line-mixed")
     a, b = mixed.where(F.col("class") != F.col("main")).alias("a"), mixed.alias("b")
-    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & near("a.fp", "b.fp") & ((F.col("a.k1") < F.col("b.k1")) | (F.col("b.class") == F.col("b.main"))))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1) & near(F.col("a.fp"), F.col("b.fp"))
+    crossing = a.join(b, apart & ((F.col("a.k1") < F.col("b.k1")) | (F.col("b.class") == F.col("b.main"))))
     more = stored(crossing.select(F.least("a.k1", "b.k1").alias("u"), F.greatest("a.k1", "b.k1").alias("v")).distinct(), "line-pairs")
     links = first_links.unionByName(_verified(more, kinds, docs)) if more.take(1) else first_links
     final = connected_components(links) if more.take(1) else roots
