@@ -71,17 +71,18 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, line, k1, k2, fp, size) of every line of MIN_WORDS words or more; ``docs`` has doc_id and text.
+    """(doc_id, d1, d2, line, n_words, k1, k2, fp, size) of every line; ``docs`` has doc_id and text.
 
-    size is the class of the line's length: alike lines differ by one class at most.
+    size is the class of the line's length: alike lines differ by one class at most. Short lines are left out when the written table is
+    read, as a filter here would be pushed below the words and split every line twice.
     """
     place = ["doc_id", "d1", "d2", "line"]
     exploded = docs.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
-    told = exploded.select(*place, words(F.col("raw")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    size = F.floor(F.log(F.length(F.array_join("w", " "))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
-    hashed = told.select(*place, size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    drawn = hashed.select(*place, "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), sampled(F.col("h")).alias("sample"))
-    return drawn.select(*place, "k1", "k2", simhash(F.col("sample")).alias("fp"), "size")
+    told = exploded.select(*place, words(F.col("raw")).alias("w"))
+    size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
+    hashed = told.select(*place, F.size("w").alias("n_words"), size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), sampled(F.col("h")).alias("sample"))
+    return drawn.select(*place, "n_words", "k1", "k2", simhash(F.col("sample")).alias("fp"), "size")
 
 
 def _block_keys(fp: Column) -> Column:
@@ -93,9 +94,23 @@ def _shingles(text: Column) -> Column:
     return let(F.split(text, " "), lambda w: F.array_distinct(F.transform(numbers(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(w[i + j] for j in range(SHINGLE))))))
 
 
+def _middles(a: Column, b: Column, then) -> Column:
+    """``then`` of what is left of two word arrays without their common first and last words, a space after each word.
+
+    The edit distance of the rests is that of the wholes.
+    """
+    said = lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise(F.lit(""))
+    agree = lambda x, y: let(F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False), lambda at: F.when(at > 0, at - 1).otherwise(F.least(F.size(x), F.size(y)))).cast("int")
+    cut = lambda w, n: F.reverse(F.slice(w, n + 1, F.size(w)))
+    tails = lambda x, y: let(agree(x, y), lambda n: F.struct(said(F.reverse(F.slice(x, n + 1, F.size(x)))).alias("a"), said(F.reverse(F.slice(y, n + 1, F.size(y)))).alias("b")))
+    heads = let(agree(a, b), lambda n: F.struct(cut(a, n).alias("a"), cut(b, n).alias("b")))
+    return let(let(heads, lambda h: tails(h["a"], h["b"])), lambda m: then(m["a"], m["b"]))
+
+
 def _alike(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    within = F.call_function("levenshtein", a, b, F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")) >= 0
+    most = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
+    within = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | (F.call_function("levenshtein", m, n, most) >= 0))))
     shared = F.size(F.array_intersect(_shingles(a), _shingles(b))) >= SIMILARITY * F.size(F.array_union(_shingles(a), _shingles(b)))
     return F.when(longest <= LONG, within).otherwise(shared)
 
@@ -116,14 +131,17 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(k1, k2, n, first, root): every distinct line, its rows, its first place and its connected group (null if it is alone)."""
     place = F.struct("doc_id", "d1", "d2", "line")
     kinds = stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
-    dealt = kinds.select("k1", "fp", "size", F.explode(_block_keys(F.col("fp"))).alias("key")).repartition("key")
-    cells = dealt.groupBy("key", "size").agg(F.count("*").alias("n"), F.min(F.struct("k1", "fp")).alias("head"))
+    # a row for each key is the largest shuffle here: the class of length rides in the key's low bits, and fingerprints join later
+    packed = kinds.select("k1", F.explode(F.transform(_block_keys(F.col("fp")), lambda x: F.shiftleft(x, 8) + F.col("size"))).alias("packed"))
+    key = F.shiftright("packed", 8)
+    dealt = packed.repartition(key).select(key.alias("key"), F.col("packed").bitwiseAND(F.lit(255)).cast("int").alias("size"), "k1")
+    cells = dealt.groupBy("key", "size").agg(F.count("*").alias("n"), F.min("k1").alias("head"))
     heads = cells.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("size", "head")).alias("heads")).where("n > 1")
-    met = stored(dealt.join(heads.drop("n"), "key"), "line-buckets")
+    met = stored(dealt.join(heads.drop("n"), "key").join(kinds.select("k1", "fp"), "k1"), "line-buckets")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
-    own = F.filter("heads", lambda h: h["size"] == F.col("size"))[0]["head"]["k1"]
-    tried = F.filter("heads", lambda h: (F.abs(h["size"] - F.col("size")) <= 1) & (h["head"]["k1"] != F.col("k1")) & near(h["head"]["fp"], F.col("fp")))
-    star = met.select("k1", F.explode(F.transform(tried, lambda h: h["head"]["k1"])).alias("head"))
+    own = F.filter("heads", lambda h: h["size"] == F.col("size"))[0]["head"]
+    tried = F.filter("heads", lambda h: (F.abs(h["size"] - F.col("size")) <= 1) & (h["head"] != F.col("k1")))
+    star = met.select("k1", F.explode(F.transform(tried, lambda h: h["head"])).alias("head"))
     first_links = _verified(stored(star.select(F.least("k1", "head").alias("u"), F.greatest("k1", "head").alias("v")).distinct(), "line-pairs"), kinds, docs)
 
     roots = connected_components(first_links)
@@ -150,7 +168,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    lines = stored(line_table(base), "lines")
+    lines = stored(line_table(base), "lines").where(F.col("n_words") >= MIN_WORDS).drop("n_words")
     groups = line_groups(base, lines)
     alone = F.col("root").isNull()
     keyed = groups.where(~alone | (F.col("n") > 1)).withColumns({"g1": F.coalesce("root", "k1"), "g2": F.when(alone, F.col("k2"))})
