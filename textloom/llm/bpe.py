@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of a chunk and of the overlap with the one before; texts up to a chunk are encoded at once.
-CHUNK, OVERLAP, GUARD = 1 << 20, 1 << 12, 2
+CHUNK, OVERLAP, GUARD = 1 << 15, 1 << 11, 2
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 1 << 18
 
