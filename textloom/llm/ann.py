@@ -127,7 +127,7 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
 def _first_graph(units: DataFrame, total: int) -> DataFrame:
     every = max(1, total // SAMPLE)
     drawn = units.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).orderBy("cid").collect()
-    sample = np.frombuffer(b"".join(bytes(r.unit) for r in drawn), dtype=np.float16).reshape(len(drawn), -1).astype(np.float32)
+    sample = np.frombuffer(b"".join(bytes(r.unit) for r in drawn), dtype=np.float16).reshape(len(drawn), -1 if drawn else 0).astype(np.float32)
     rng = np.random.default_rng(SEED)
     trees = [ProjectionTree(sample, max(8, LEAF * len(sample) // max(1, total)), rng) for _ in range(TREES)]
     shared = units.sparkSession.sparkContext.broadcast(trees)
