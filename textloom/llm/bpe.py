@@ -19,10 +19,12 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm.batches import bounded
+
 #: Characters of a chunk and of the overlap with the one before; texts up to a chunk are encoded at once.
 CHUNK, OVERLAP, GUARD = 1 << 15, 1 << 11, 2
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 
 
 class ByteBpe:
@@ -114,7 +116,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     agreed boundaries are encoded as rows of their own, and a text's ids are put together in order at the end.
     """
     schema = DIGEST if digests else "doc_id long, ids array<int>, decoded binary"
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def rows(doc_ids: list, all_ids: list[list[int]]) -> pa.RecordBatch:
         bpe = _loaded(rank_file, pattern)

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm.batches import bounded
+
 #: Hash buckets of the letter n-grams of one to three characters.
 BUCKETS = 1 << 12
 #: Labelled documents aimed at for each language, drawn by hash; the bound of the fit.
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Rows with null language or text, or without a letter, teach nothing. With no usable row the model knows no language and rejects all.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    base = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = base.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out))
     totals = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not totals:
@@ -150,7 +152,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             lang, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(predicted, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -163,7 +165,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([not shared.value.predict(t.as_py())[2] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return bounded(docs).mapInArrow(kept, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

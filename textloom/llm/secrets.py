@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm.batches import bounded
+
 #: The base kinds in listed order, their patterns, and the least length of the group that counts.
 BASE = (
     ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
@@ -107,7 +109,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in secret_spans(t.as_py() or "", novelty)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scanned, f"doc_id long, spans {_SPANS}")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scanned, f"doc_id long, spans {_SPANS}")
 
 
 def digest(found: DataFrame) -> DataFrame:
