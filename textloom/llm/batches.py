@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a batch; the default of 10,000 whole texts would hold tens of MB in the JVM and again in each worker.
-ROWS = 1000
+ROWS = 500
 
 
 def bounded(df: DataFrame) -> DataFrame:

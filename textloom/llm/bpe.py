@@ -24,7 +24,7 @@ from textloom.llm.batches import bounded
 #: Characters of a chunk and of the overlap with the one before; texts up to a chunk are encoded at once.
 CHUNK, OVERLAP, GUARD = 1 << 15, 1 << 11, 2
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 15
 
 
 class ByteBpe:

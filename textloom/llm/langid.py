@@ -16,7 +16,7 @@ from textloom.llm.batches import bounded
 #: Hash buckets of the letter n-grams of one to three characters.
 BUCKETS = 1 << 12
 #: Labelled documents aimed at for each language, drawn by hash; the bound of the fit.
-FIT_DOCS = 800
+FIT_DOCS = 400
 CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected when its cosine is under this share of the cosine that all but 1 in 200 training texts of its centroid reach.
@@ -73,8 +73,10 @@ class Model:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +122,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     rows.append(counts.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
-    found = sorted((r.lang, bytes(r.counts)) for r in drawn.select("lang", "text").mapInArrow(counted, "lang string, counts binary").collect())
-    counts = np.array([np.frombuffer(c, dtype=np.float32) for _, c in found], dtype=np.float32).reshape(-1, BUCKETS)
+    rows = drawn.select("lang", "text").mapInArrow(counted, "lang string, counts binary").collect()
+    found = sorted((r.lang, bytes(r.counts)) for r in rows)
+    del rows
     langs = sorted({lang for lang, _ in found})
     own = np.array([langs.index(lang) for lang, _ in found], dtype=int)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
+    counts = np.frombuffer(b"".join(c for _, c in found), dtype=np.float32).reshape(-1, BUCKETS)
+    del found
+    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
     x = _weighted(counts, idf)
     centers, lang_of, least = [], [], []
     for j in range(len(langs)):
