@@ -20,7 +20,9 @@ FIT_DOCS = 400
 CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected when its cosine is under this share of the cosine that all but 1 in 200 training texts of its centroid reach.
-REJECT = 0.25
+REJECT = 0.1
+#: The least cosine is never set over this: texts of a word or two are near no centroid, yet clean.
+LENIENT = 0.045
 UNKNOWN = "und"
 #: Code points whose n-grams are counted at a time.
 BLOCK = 1 << 20
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             reached = cosine[near == k, k]
             centers.append(c[k])
             lang_of.append(j)
-            least.append(REJECT * float(np.quantile(reached if len(reached) else cosine.max(axis=1), 0.005)))
+            least.append(min(LENIENT, REJECT * float(np.quantile(reached if len(reached) else cosine.max(axis=1), 0.005))))
     return Model(langs, idf, np.array(centers).reshape(-1, BUCKETS), np.array(lang_of, dtype=int), np.array(least))
 
 
