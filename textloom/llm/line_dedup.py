@@ -1,15 +1,15 @@
 """Fuzzy line de-duplication with SimHash, pigeonhole blocks and edit distance. Built-in functions only.
 
-Lines are lower-cased and read as words; lines of fewer than MIN_WORDS words are left alone. A line's 64-bit SimHash is taken over the
-SAMPLE smallest of its distinct word hashes, a sample that like lines share, so that a small edit mostly leaves it as it is. It is cut into
-four blocks. Two fingerprints that differ in at most two bits agree in two blocks, so lines meet under the six pairs of blocks, 32 bits
-each, and are verified by edit similarity. Within a bucket each line is first compared with one head for each class of length, its own and
+Lines are lower-cased and read as words; lines of fewer than MIN_WORDS words are left alone. A line's 64-bit SimHash is taken over all
+its words and cut into four blocks. Two fingerprints that differ in at most two bits agree in two blocks, so lines meet under the six pairs
+of blocks, 32 bits each, and are verified by edit similarity. Within a bucket each line is first compared with one head for each class of length, its own and
 the next; only lines that this leaves in different groups are then compared with each other, so a bucket of copies costs a few comparisons
 per line and not one per pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,14 +20,15 @@ from textloom.storage import stored
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-SAMPLE = 16
 #: Most differing bits of a pair that is verified; up to two are met with certainty, more if the differing bits leave two blocks alike.
 MAX_BITS = 8
 #: Lines over so many characters are verified by their five-word shingles, as edit distance takes the product of two lengths.
-LONG, SHINGLE = 1000, 5
+LONG, SHINGLE = 4000, 5
 #: What stands between words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_EIGHT = 0x0101010101010101
+#: Words counted at a time in lanes of 8 bits.
+RUN = 127
+_EIGHT, _FOUR, _TWO = 0x0101010101010101, 0x0001000100010001, 0x0000000100000001
 
 
 def words(line: Column) -> Column:
@@ -38,28 +39,38 @@ def normalised(line: Column) -> Column:
     return F.array_join(words(line), " ")
 
 
-def sampled(hashes: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SAMPLE)
-
-
-def simhash(sample: Column) -> Column:
-    """SimHash of at most 63 hashes: a bit is set where it is set in over half of them.
-
-    Eight longs count all 64 bits at once, long k having the counters of the bits k, 8 + k, ... in its eight bytes. Adding what a counter
-    lacks to 64 then moves the answer into bit 6 of its byte.
-    """
+def _counts(hashes: Column, then: Callable[[list[Column]], Column]) -> Column:
+    """``then`` of eight longs that count all 64 bits of at most RUN hashes, long k having those of the bits k, 8 + k, ... in its bytes."""
     names = [f"c{k}" for k in range(8)]
     zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
     plus = lambda a, h: F.struct(*((a[n] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_EIGHT))).alias(n) for k, n in enumerate(names)))
-    lack = (F.lit(63).cast("long") - F.floor(F.size(sample) / 2)) * F.lit(_EIGHT)
+    return F.aggregate(hashes, zero, plus, lambda a: then([a[n] for n in names]))
 
-    def bits(a: Column) -> Column:
-        value = F.lit(0).cast("long")
-        for k, n in enumerate(names):
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(a[n] + lack, 6).bitwiseAND(F.lit(_EIGHT)), k))
-        return value
 
-    return F.aggregate(sample, zero, plus, bits)
+def _joined(bits: list[Column]) -> Column:
+    """Lanes of single bits put beside each other, those of number k moved k bits to the left."""
+    value = F.lit(0).cast("long")
+    for k, lanes in enumerate(bits):
+        value = value.bitwiseOR(F.shiftleft(lanes, k))
+    return value
+
+
+def simhash(hashes: Column) -> Column:
+    """64-bit SimHash of an array of word hashes, repeats included: a bit is set where it is set in over half of them.
+
+    Adding what a counter lacks to a power of two moves the answer into one bit of its lane, in lanes wide enough that the sign bit stays
+    clear. Up to RUN words one count does; longer lines add up the counters of their runs, so that every word of every line counts.
+    """
+    half = F.floor(F.size(hashes) / 2)
+    lack = (F.lit(RUN).cast("long") - half) * F.lit(_FOUR)
+    spread = lambda c: [F.shiftrightunsigned(x, 8 * o).bitwiseAND(F.lit(255 * _FOUR)) for o in range(2) for x in c]
+    short = _counts(hashes, lambda c: _joined([F.shiftrightunsigned(x + lack, 7).bitwiseAND(F.lit(_FOUR)) for x in spread(c)]))
+    runs = F.transform(numbers(F.lit(0), F.floor((F.size(hashes) - 1) / RUN).cast("int")), lambda i: _counts(F.slice(hashes, i * RUN + 1, RUN), lambda c: F.array(*c)))
+    widen = lambda r: F.array(*(F.shiftrightunsigned(r[k], 8 * o).bitwiseAND(F.lit(255 * _TWO)) for o in range(4) for k in range(8)))
+    totals = F.aggregate(runs, F.array_repeat(F.lit(0).cast("long"), 32), lambda a, r: F.zip_with(a, widen(r), lambda x, y: x + y))
+    wide_lack = (F.lit((1 << 30) - 1).cast("long") - half) * F.lit(_TWO)
+    long = let(totals, lambda t: _joined([F.shiftrightunsigned(t[at] + wide_lack, 30).bitwiseAND(F.lit(_TWO)) for at in range(32)]))
+    return F.when(F.size(hashes) <= RUN, short).otherwise(long)
 
 
 def _doc_key(doc_id: Column, text: Column) -> list[Column]:
@@ -81,8 +92,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     told = exploded.select(*place, words(F.col("raw")).alias("w"))
     size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
     hashed = told.select(*place, F.size("w").alias("n_words"), size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), sampled(F.col("h")).alias("sample"))
-    return drawn.select(*place, "n_words", "k1", "k2", simhash(F.col("sample")).alias("fp"), "size")
+    return hashed.select(*place, "n_words", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), simhash(F.col("h")).alias("fp"), "size")
 
 
 def _block_keys(fp: Column) -> Column:
