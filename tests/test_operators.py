@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import metrics as M, mixing, tokens, vectors
+from textloom.operators import metrics as M, mixing, relations as R, tokens, vectors
 from textloom.sources import readers
 from textloom.storage import table
 from textloom.streaming import events
@@ -131,3 +131,28 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     key = lambda df: sorted((str(r.start), r.event_type, r.n) for r in df.collect())
     assert key(spark.table("counted")) == key(events.windowed_counts(batch))
+
+
+def test_answer_rules(spark):
+    assert one(spark, T.cut_at_stop(F.lit("\n\nabc\n\nd"), ["\n\n"])) == "abc"
+    assert one(spark, T.last_number(F.lit(" none, here "))) == "none here"
+    assert one(spark, T.is_abstention(F.lit("I cannot answer."), ["I cannot answer that question."]))
+    assert not one(spark, T.is_abstention(F.lit("I"), ["I do not know."]))
+    assert one(spark, T.render_math(F.lit("q"), F.lit("only steps"))).response == "only steps"
+    assert one(spark, T.render_math(F.lit("q"), F.lit("#### 7"))).response == "The answer is 7."
+    assert one(spark, T.render_math(F.lit(" "), F.lit("a"))) is None
+
+
+def test_as_of_carries_over_empty_ranges(spark):
+    starts = spark.createDataFrame([(10, "a"), (1000, "b")], "start long, owner string")
+    points = spark.createDataFrame([(5,), (10,), (500,), (999,), (1000,), (9000,)], "at long")
+    got = {r["at"]: r["owner"] for r in R.as_of(points, starts, "at", "start", "owner", 16).collect()}
+    assert got == {5: None, 10: "a", 500: "a", 999: "a", 1000: "b", 9000: "b"}
+
+
+def test_overlaps_and_runs(spark):
+    a = spark.createDataFrame([(1, 0, 100), (1, 5, 5), (2, 0, 9)], "k int, a_start long, a_end long")
+    b = spark.createDataFrame([(1, 99, 140), (1, 100, 120), (1, 0, 200), (2, 9, 12)], "k int, b_start long, b_end long")
+    assert sorted((r.a_start, r.b_start, r.b_end) for r in R.overlaps(a, b, "k", 10).collect()) == [(0, 0, 200), (0, 99, 140)]
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "x"), (1, 4, None)], "g int, t int, v string")
+    assert sorted((r.run, r.v, r.n) for r in R.runs(rows, "g", ["t"], "v").collect()) == [(1, None, 2), (2, "x", 1), (3, None, 1)]

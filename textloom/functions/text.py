@@ -55,9 +55,10 @@ def contains_answer(text: Column, answer: Column) -> Column:
 
 
 def is_abstention(text: Column, phrases: list[str]) -> Column:
-    """Whether a text opens with a phrase of the closed set, or is (12+ characters of) the opening of one."""
-    said = light_normalize(F.coalesce(text, F.lit("")))
-    opens = [F.startswith(said, F.lit(p)) | ((F.length(said) >= 12) & F.startswith(F.lit(p), said)) for p in phrases]
+    """Whether a text opens with a phrase of the closed set, or is (12+ characters of) the opening of one; closing . and ! don't count."""
+    said = F.regexp_replace(light_normalize(F.coalesce(text, F.lit(""))), "[.!]+$", "")
+    known = [" ".join(p.lower().split()).rstrip(".!") for p in phrases]
+    opens = [F.startswith(said, F.lit(p)) | ((F.length(said) >= 12) & F.startswith(F.lit(p), said)) for p in known]
     return reduce(lambda a, b: a | b, opens, F.lit(False))
 
 
@@ -92,20 +93,38 @@ def sigmoid_ratio(original: Column, swapped: Column) -> Column:
 
 
 def last_number(text: Column) -> Column:
-    """The last number of a text without thousands separators, null if it has none."""
-    return F.regexp_replace(F.try_element_at(F.regexp_extract_all(text, F.lit(r"-?\d[\d,]*(?:\.\d+)?"), 0), F.lit(-1)), ",", "")
+    """The last number of a text whose commas are dropped; the trimmed text if it has none."""
+    clean = F.replace(text, F.lit(","), F.lit(""))
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(clean, F.lit(r"-?\d+(?:\.\d+)?"), 0), F.lit(-1)), F.trim(clean))
 
 
 def cut_at_stop(text: Column, stops: list[str]) -> Column:
-    """The text before the first of the stop strings."""
-    places = [F.when(F.instr(text, s) > 0, F.instr(text, s) - 1) for s in stops]
-    return F.substring(text, F.lit(1), F.least(F.length(text), *places)) if places else text
+    """The text before the first of the stop strings, white space at its start left out before the search."""
+    said = F.regexp_replace(text, r"^\s+", "")
+    places = [F.when(F.instr(said, s) > 0, F.instr(said, s) - 1) for s in stops]
+    return F.substring(said, F.lit(1), F.least(F.length(said), *places)) if places else said
 
 
 def render_math(question: Column, answer: Column) -> Column:
-    """A worked answer without calculator marks, its final line rewritten."""
+    """A worked answer without calculator marks, what follows the first #### rewritten as a sentence; null without question or answer."""
     clean = F.regexp_replace(answer, r"<<[^>]*>>", "")
-    return F.struct(question.alias("prompt"), F.concat(F.trim(F.substring_index(clean, "####", 1)), F.lit("\nThe answer is "), F.trim(F.substring_index(clean, "####", -1)), F.lit(".")).alias("response"))
+    body = F.trim(F.substring_index(clean, "####", 1))
+    final = F.when(F.instr(clean, "####") > 0, F.trim(F.substring(clean, F.instr(clean, "####") + 4, F.length(clean)))).otherwise("")
+    closing = F.when(final != "", F.concat(F.lit("The answer is "), final, F.lit(".")))
+    response = F.concat_ws("\n", F.nullif(body, F.lit("")), closing)
+    return F.when((F.trim(question) != "") & (F.trim(answer) != "") & (response != ""), F.struct(F.trim(question).alias("prompt"), response.alias("response")))
+
+
+def log_bin(popularity: Column) -> Column:
+    """Decimal bin of a popularity: <2, 2-3, 3-4 or >=4."""
+    size = F.log10(F.greatest(popularity, F.lit(1.0)))
+    return F.when(size < 2, "<2").when(size < 3, "2-3").when(size < 4, "3-4").otherwise(">=4")
+
+
+def room_left(context: Column, continuation: Column, budget: int) -> Column:
+    """The last tokens of a context that fit a budget beside its continuation, which is never cut; the whole where no room is left."""
+    room = budget - F.size(continuation)
+    return F.when((room > 0) & (F.size(context) > room), F.slice(context, F.greatest(F.size(context) - room + 1, F.lit(1)), F.greatest(room, F.lit(0)))).otherwise(context)
 
 
 def has_repeated_ngram(ids: Column, n: int) -> Column:
