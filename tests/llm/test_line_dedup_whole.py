@@ -1,0 +1,42 @@
+"""Line de-duplication as the op3 query runs it: single blocks of a SimHash over all words."""
+
+import random
+
+import xxhash
+from pyspark.sql import functions as F
+from test_line_dedup import edit_distance, signed
+
+from textloom.llm import line_dedup as L
+
+
+def whole_print(said):
+    hashes = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in said.split(" ")}
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def removed(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id for r in L.deduplicated(df, **how).where("n_removed > 0").collect()}
+
+
+def test_one_agreeing_block_is_enough(spark):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(80):
+        a = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(rng.randrange(6, 60))]
+        b = a.copy()
+        b[rng.randrange(len(b))] = "".join(rng.choices("abcdefghijklmnop", k=5))
+        pairs.append((" ".join(a), " ".join(b)))
+    rows = [(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)]
+    met = lambda a, b: any(not (whole_print(a) ^ whole_print(b)) >> 16 * k & 0xFFFF for k in range(4))
+    want = {2 * i + 1 for i, (a, b) in enumerate(pairs) if met(a, b) and edit_distance(a, b) <= 0.2 * max(len(a), len(b))}
+    got = removed(spark, rows, whole=True)
+    assert got == want
+    assert len(got) > 1.5 * len(removed(spark, rows))
+
+
+def test_simhash_of_all_words(spark):
+    texts = [" ".join(f"w{n}x{i}" for i in range(n)) for n in (1, 2, 126, 127, 128, 129, 254, 255, 400)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = df.select("s", F.transform(F.split("s", " "), lambda w: F.xxhash64(w)).alias("h")).select("s", L.simhash_all(F.col("h")).alias("fp")).collect()
+    assert {r.s: r.fp & (1 << 64) - 1 for r in got} == {t: whole_print(t) for t in texts}

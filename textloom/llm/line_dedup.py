@@ -6,10 +6,15 @@ four blocks. Two fingerprints that differ in at most two bits agree in two block
 each, and are verified by edit similarity. Within a bucket each line is first compared with one head for each class of length, its own and
 the next; only lines that this leaves in different groups are then compared with each other, so a bucket of copies costs a few comparisons
 per line and not one per pair.
+
+With ``whole`` set the fingerprint is taken over all distinct words, lines meet under each single block, and edit similarity alone decides.
+That meets far more alike lines (those within three differing bits for certain), and by chance more unlike ones too: 16 bits are few, so
+comparisons grow faster than the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,7 +32,9 @@ MAX_BITS = 8
 LONG, SHINGLE = 4000, 5
 #: What stands between words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_EIGHT = 0x0101010101010101
+#: Words counted at a time in lanes of 8 bits.
+RUN = 127
+_EIGHT, _FOUR, _TWO = 0x0101010101010101, 0x0001000100010001, 0x0000000100000001
 
 
 def words(line: Column) -> Column:
@@ -42,24 +49,46 @@ def sampled(hashes: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SAMPLE)
 
 
+def _counts(hashes: Column, then: Callable[[list[Column]], Column]) -> Column:
+    """``then`` of eight longs that count all 64 bits of at most RUN hashes, long k having those of the bits k, 8 + k, ... in its bytes."""
+    names = [f"c{k}" for k in range(8)]
+    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
+    plus = lambda a, h: F.struct(*((a[n] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_EIGHT))).alias(n) for k, n in enumerate(names)))
+    return F.aggregate(hashes, zero, plus, lambda a: then([a[n] for n in names]))
+
+
+def _joined(bits: list[Column]) -> Column:
+    """Lanes of single bits put beside each other, those of number k moved k bits to the left."""
+    value = F.lit(0).cast("long")
+    for k, lanes in enumerate(bits):
+        value = value.bitwiseOR(F.shiftleft(lanes, k))
+    return value
+
+
 def simhash(sample: Column) -> Column:
     """SimHash of at most 63 hashes: a bit is set where it is set in over half of them.
 
-    Eight longs count all 64 bits at once, long k having the counters of the bits k, 8 + k, ... in its eight bytes. Adding what a counter
-    lacks to 64 then moves the answer into bit 6 of its byte.
+    Adding what a counter lacks to 64 moves the answer into bit 6 of its byte.
     """
-    names = [f"c{k}" for k in range(8)]
-    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
-    plus = lambda a, h: F.struct(*((a[n] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_EIGHT))).alias(n) for k, n in enumerate(names)))
     lack = (F.lit(63).cast("long") - F.floor(F.size(sample) / 2)) * F.lit(_EIGHT)
+    return _counts(sample, lambda c: _joined([F.shiftrightunsigned(x + lack, 6).bitwiseAND(F.lit(_EIGHT)) for x in c]))
+
 
-    def bits(a: Column) -> Column:
-        value = F.lit(0).cast("long")
-        for k, n in enumerate(names):
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(a[n] + lack, 6).bitwiseAND(F.lit(_EIGHT)), k))
-        return value
+def simhash_all(hashes: Column) -> Column:
+    """SimHash of any number of hashes.
 
-    return F.aggregate(sample, zero, plus, bits)
+    Up to RUN hashes one count in lanes of 16 bits does; longer arrays add up the counters of their runs, so that every word counts.
+    """
+    half = F.floor(F.size(hashes) / 2)
+    lack = (F.lit(RUN).cast("long") - half) * F.lit(_FOUR)
+    spread = lambda c: [F.shiftrightunsigned(x, 8 * o).bitwiseAND(F.lit(255 * _FOUR)) for o in range(2) for x in c]
+    short = _counts(hashes, lambda c: _joined([F.shiftrightunsigned(x + lack, 7).bitwiseAND(F.lit(_FOUR)) for x in spread(c)]))
+    runs = F.transform(numbers(F.lit(0), F.floor((F.size(hashes) - 1) / RUN).cast("int")), lambda i: _counts(F.slice(hashes, i * RUN + 1, RUN), lambda c: F.array(*c)))
+    widen = lambda r: F.array(*(F.shiftrightunsigned(r[k], 8 * o).bitwiseAND(F.lit(255 * _TWO)) for o in range(4) for k in range(8)))
+    totals = F.aggregate(runs, F.array_repeat(F.lit(0).cast("long"), 32), lambda a, r: F.zip_with(a, widen(r), lambda x, y: x + y))
+    wide_lack = (F.lit((1 << 30) - 1).cast("long") - half) * F.lit(_TWO)
+    long = let(totals, lambda t: _joined([F.shiftrightunsigned(t[at] + wide_lack, 30).bitwiseAND(F.lit(_TWO)) for at in range(32)]))
+    return F.when(F.size(hashes) <= RUN, short).otherwise(long)
 
 
 def _doc_key(doc_id: Column, text: Column) -> list[Column]:
@@ -70,7 +99,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, d1, d2, line, n_words, k1, k2, fp, size) of every line; ``docs`` has doc_id and text.
 
     size is the class of the line's length: alike lines differ by one class at most. Short lines are left out when the written table is
@@ -81,12 +110,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     told = exploded.select(*place, words(F.col("raw")).alias("w"))
     size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
     hashed = told.select(*place, F.size("w").alias("n_words"), size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), sampled(F.col("h")).alias("sample"))
-    return drawn.select(*place, "n_words", "k1", "k2", simhash(F.col("sample")).alias("fp"), "size")
+    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), (F.array_distinct("h") if whole else sampled(F.col("h"))).alias("sample"))
+    return drawn.select(*place, "n_words", "k1", "k2", (simhash_all if whole else simhash)(F.col("sample")).alias("fp"), "size")
 
 
-def _block_keys(fp: Column) -> Column:
+def _block_keys(fp: Column, whole: bool = False) -> Column:
     block = lambda i: F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    if whole:
+        return F.array(*(F.lit(c << 32).cast("long") + block(c) for c in range(4)))
     return F.array(*(F.lit(c << 32).cast("long") + F.shiftleft(block(i), 16) + block(j) for c, (i, j) in enumerate(combinations(range(4), 2))))
 
 
@@ -127,18 +158,18 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.where(_alike(F.col("su"), F.col("sv"))).select("u", "v"), "line-links")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def line_groups(docs: DataFrame, lines: DataFrame, whole: bool = False) -> DataFrame:
     """(k1, k2, n, first, root): every distinct line, its rows, its first place and its connected group (null if it is alone)."""
     place = F.struct("doc_id", "d1", "d2", "line")
     kinds = stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
     # a row for each key is the largest shuffle here: the class of length rides in the key's low bits, and fingerprints join later
-    packed = kinds.select("k1", F.explode(F.transform(_block_keys(F.col("fp")), lambda x: F.shiftleft(x, 8) + F.col("size"))).alias("packed"))
+    packed = kinds.select("k1", F.explode(F.transform(_block_keys(F.col("fp"), whole), lambda x: F.shiftleft(x, 8) + F.col("size"))).alias("packed"))
     key = F.shiftright("packed", 8)
     dealt = packed.repartition(key).select(key.alias("key"), F.col("packed").bitwiseAND(F.lit(255)).cast("int").alias("size"), "k1")
     cells = dealt.groupBy("key", "size").agg(F.count("*").alias("n"), F.min("k1").alias("head"))
     heads = cells.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("size", "head")).alias("heads")).where("n > 1")
     met = stored(dealt.join(heads.drop("n"), "key").join(kinds.select("k1", "fp"), "k1"), "line-buckets")
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+    near = lambda a, b: F.lit(whole) | (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
     own = F.filter("heads", lambda h: h["size"] == F.col("size"))[0]["head"]
     tried = F.filter("heads", lambda h: (F.abs(h["size"] - F.col("size")) <= 1) & (h["head"] != F.col("k1")))
     star = met.select("k1", F.explode(F.transform(tried, lambda h: h["head"])).alias("head"))
@@ -158,18 +189,18 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return kinds.join(final, kinds.k1 == final.node, "left").select("k1", "k2", "n", "first", "root")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and n_lines and n_removed.
 
     Of each connected group of like lines the occurrence with the smallest (doc_id, line number) stays, wherever it is. Blank lines and
     lines of fewer than MIN_WORDS words always stay. A null text stays null with no lines; an empty one has one line. Rows that repeat both
     id and text count as one document and get the same result each. Ids that are null come first in order. Other columns pass through;
-    columns already named n_lines or n_removed are replaced.
+    columns already named n_lines or n_removed are replaced. ``whole`` compares all lines that agree in one block, not two.
     """
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    lines = stored(line_table(base), "lines").where(F.col("n_words") >= MIN_WORDS).drop("n_words")
-    groups = line_groups(base, lines)
+    lines = stored(line_table(base, whole), "lines").where(F.col("n_words") >= MIN_WORDS).drop("n_words")
+    groups = line_groups(base, lines, whole)
     alone = F.col("root").isNull()
     keyed = groups.where(~alone | (F.col("n") > 1)).withColumns({"g1": F.coalesce("root", "k1"), "g2": F.when(alone, F.col("k2"))})
     keyed = stored(keyed, "line-groups")

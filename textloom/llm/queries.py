@@ -23,7 +23,7 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
