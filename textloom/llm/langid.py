@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,15 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm.batches import bounded
 
 #: Hash buckets of the letter n-grams of one to three characters.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 #: Labelled documents aimed at for each language, drawn by hash; the bound of the fit.
 FIT_DOCS = 400
 CENTROIDS = 4
 ROUNDS = 8
-#: A text is rejected when its cosine is under this share of the cosine that all but 1 in 200 training texts of its centroid reach.
-REJECT = 0.1
-#: The least cosine is never set over this: texts of a word or two are near no centroid, yet clean.
-LENIENT = 0.045
+#: A text is rejected when its cosine is under this share of what all but 1 in 200 pieces of training texts of its length reach.
+REJECT = 0.75
+#: Lengths are classes, the binary logarithm of the n-grams counted. Up to class SHORT (a word or two) the least cosine is never over
+#: LENIENT: such texts are near no centroid, yet clean. A class that fewer than ENOUGH pieces fall in takes the bound of the one below.
+CLASSES, SHORT, LENIENT, ENOUGH = 40, 5, 0.045, 200
 UNKNOWN = "und"
 #: Code points whose n-grams are counted at a time.
 BLOCK = 1 << 20
@@ -55,7 +57,7 @@ def ngram_counts(text: str) -> np.ndarray | None:
 
 @dataclass
 class Model:
-    """Centroids (rows) with their language and the least cosine they accept."""
+    """Centroids (rows) with their language, and the least cosine accepted in each class of length."""
 
     langs: list[str]
     idf: np.ndarray
@@ -65,13 +67,25 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected); a text without a letter is unknown and rejected."""
-        counts = ngram_counts(text) if text else None
-        if counts is None or not len(self.langs):
-            return UNKNOWN, 0.0, True
+        best, score, size = self.nearest(text) if text and len(self.langs) else (None, 0.0, 0)
+        return (UNKNOWN, 0.0, True) if best is None else (self.langs[self.lang_of[best]], score, bool(score < self.least[size]))
+
+    def nearest(self, text: str) -> tuple[int | None, float, int]:
+        """(centroid, cosine, class of length); no centroid if the text has no letter."""
+        counts = ngram_counts(text)
+        if counts is None:
+            return None, 0.0, 0
         cosine = self.centroids @ _weighted(counts[None, :], self.idf)[0]
         best = int(np.argmax(cosine))
-        score = float(min(1.0, max(0.0, cosine[best])))
-        return self.langs[self.lang_of[best]], score, bool(score < self.least[best])
+        return best, float(min(1.0, max(0.0, cosine[best]))), min(CLASSES - 1, int(np.log2(max(1.0, counts.sum()))))
+
+    def pieces(self, text: str) -> list[tuple[int, float]]:
+        """(class of length, cosine) of a text and of pieces of it, from 8 characters on, each length twice the last."""
+        cut, size = [text], 8
+        while size < len(text):
+            cut += [text[:size], text[zlib.crc32(text.encode("utf-8", "replace")) % (len(text) - size + 1) :][:size]]
+            size *= 2
+        return [(size, cosine) for best, cosine, size in map(self.nearest, cut) if best is not None]
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -95,6 +109,17 @@ def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centers, x @ centers.T
 
 
+def _bounds(classes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine of each class of length."""
+    least, last = np.zeros(CLASSES), 0.0
+    for k in range(CLASSES):
+        own = cosines[classes == k]
+        if len(own) >= ENOUGH:
+            last = REJECT * float(np.quantile(own, 0.005))
+        least[k] = min(last, LENIENT) if k <= SHORT else last
+    return least
+
+
 def fold(id_col: str, of: int) -> F.Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)), F.lit(0))
@@ -109,7 +134,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = base.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out))
     totals = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not totals:
-        return Model([], np.ones(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, dtype=int), np.zeros(0))
+        return Model([], np.ones(BUCKETS), np.zeros((0, BUCKETS)), np.zeros(0, dtype=int), np.zeros(CLASSES))
     grain = 1 << 24
     share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(grain, -(-per_lang * grain // n)))])
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(grain)) < share[F.col("lang")])
@@ -133,16 +158,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     del found
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
     x = _weighted(counts, idf)
-    centers, lang_of, least = [], [], []
+    centers, lang_of = [], []
     for j in range(len(langs)):
-        c, cosine = _cluster(x[own == j], CENTROIDS)
-        near = cosine.argmax(axis=1)
-        for k in range(len(c)):
-            reached = cosine[near == k, k]
-            centers.append(c[k])
-            lang_of.append(j)
-            least.append(min(LENIENT, REJECT * float(np.quantile(reached if len(reached) else cosine.max(axis=1), 0.005))))
-    return Model(langs, idf, np.array(centers).reshape(-1, BUCKETS), np.array(lang_of, dtype=int), np.array(least))
+        c, _ = _cluster(x[own == j], CENTROIDS)
+        centers += list(c)
+        lang_of += [j] * len(c)
+    del x, counts
+    model = Model(langs, idf, np.array(centers).reshape(-1, BUCKETS), np.array(lang_of, dtype=int), np.zeros(CLASSES))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for t in batch.column(0) for x in shared.value.pieces(t.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([c for _, c in found], pa.float32())], names=["size", "cosine"])
+
+    seen = drawn.select("text").mapInArrow(measured, "size int, cosine float").collect() if langs else []
+    model.least = _bounds(np.array([r.size for r in seen]), np.array([r.cosine for r in seen]))
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
