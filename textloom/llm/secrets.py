@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from random import Random
 
 import pyarrow as pa
 import zstandard
@@ -32,11 +34,23 @@ PRIMER = (
 #: Characters before and after a candidate that it is measured against; the sensitive word must be among those before.
 BEFORE, AFTER = 64, 32
 LEAST = 16
-#: Marginal compressed bytes for each character from which a candidate counts as incompressible.
-NOVELTY = 0.75
+#: Share of the marginal compressed bytes of random strings (of its length and alphabet, in its place) from which a candidate counts as
+#: incompressible, and the random strings drawn.
+NOVELTY, DRAWS = 0.8, 4
+#: Alphabets of letters and digits; a candidate has the first that holds all of them. Its other characters stay where they are.
+ALPHABETS = tuple(
+    "".join(chr(c) for c in range(128) if re.match(f"[{x}]", chr(c)))
+    for x in ("0-9", "0-9a-f", "0-9A-F", "a-z", "A-Z", "A-Z2-7", "a-z2-7", "0-9a-z", "0-9A-Z", "A-Za-z", "A-Za-z0-9")
+)
+#: Pairs of letters common in words; a candidate mostly of letters, with this share of its pairs among them, is made of words.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ri io ic me co ne "
+    "us li la el ch ce ma ro ll no di ec om em ta ie ns ac be so ca il ot tr ss pe ho ai un po ee ut wi lo na us sh ad qu ue am ge ct id "
+    "os ir ol mi ei ni ui lu pr pl ke ey ag ul im ab tu su mo do vi op iv do da ap ig da cl ck gh".split()
+)
+WORDLIKE, LETTERS = 0.5, 0.75
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _SENSITIVE = re.compile(r"(?ai:key|token|secret|passw|pwd|credential|auth|bearer|signature|private)")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -60,6 +74,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}" % BASE[2][3])
 
 
+def wordlike(token: str) -> bool:
+    """Whether a token is mostly letters, in pairs that words are made of; the compressor can't know words that its primer lacks."""
+    runs = re.findall("[a-z]+", token.lower())
+    pairs = [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
+    return sum(map(len, runs)) >= LETTERS * sum(c.isalnum() for c in token) and sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
+
+
 class Novelty:
     """Marginal compressed size of a token inside its surroundings, over a compressor primed with identifiers."""
 
@@ -69,21 +90,30 @@ class Novelty:
     def size(self, text: str) -> int:
         return len(self.packer.compress(text.encode("utf-8", "replace")))
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Bytes that the token adds to the compressed surroundings, for each of its characters."""
-        before, token, after = text[max(0, start - BEFORE) : start], text[start:end], text[end : end + AFTER]
-        return (self.size(before + token + after) - self.size(before + after)) / len(token)
+    def marginal(self, text: str, start: int, end: int, token: str | None = None) -> int:
+        """Bytes that the token, or another in its place, adds to the compressed surroundings."""
+        before, token, after = text[max(0, start - BEFORE) : start], token or text[start:end], text[end : end + AFTER]
+        return self.size(before + token + after) - self.size(before + after)
+
+    def novelty(self, text: str, start: int, end: int) -> float:
+        """Marginal bytes of the token over those of random strings of its shape, so that fixed costs and small alphabets cancel out."""
+        token = text[start:end]
+        own = {c for c in token if c.isalnum()}
+        alphabet = next(a for a in ALPHABETS if own <= set(a))
+        rng = Random(zlib.crc32(token.encode()))
+        drawn = ["".join(rng.choice(alphabet) if c.isalnum() else c for c in token) for _ in range(DRAWS)]
+        return DRAWS * self.marginal(text, start, end) / max(1, sum(self.marginal(text, start, end, t) for t in drawn))
 
     def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Incompressible tokens in a sensitive context that no base span covers in part."""
         found = []
         for m in _CANDIDATE.finditer(text):
             start, end = m.span()
-            if not _MIXED.match(m[0]) or not _SENSITIVE.search(text, max(0, start - BEFORE), start):
+            if not any(c.isalnum() for c in m[0]) or not _SENSITIVE.search(text, max(0, start - BEFORE), start):
                 continue
             if any(a < end and start < b for _, a, b in taken):
                 continue
-            if self.marginal(text, start, end) >= NOVELTY:
+            if not wordlike(m[0]) and self.novelty(text, start, end) >= NOVELTY:
                 found.append(("novel", start, end))
         return found
 
