@@ -40,3 +40,15 @@ def test_simhash_of_all_words(spark):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = df.select("s", F.transform(F.split("s", " "), lambda w: F.xxhash64(w)).alias("h")).select("s", L.simhash_all(F.col("h")).alias("fp")).collect()
     assert {r.s: r.fp & (1 << 64) - 1 for r in got} == {t: whole_print(t) for t in texts}
+
+
+def test_lines_of_few_words(spark):
+    same = "今日は天気がとても良いですから公園へ行って友達と一緒に昼ご飯を食べました"
+    rows = [(1, "Les."), (2, "les"), (3, "Les!\n\n---\n---"), (4, same), (5, same), (7, "two words"), (8, "other")]
+    rows += [(20 + i, same[:i] + "山" + same[i:]) for i in range(len(same))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.deduplicated(df, whole=True).collect()}
+    assert got[1] == "Les." and got[2] == "" and got[3] == "\n---\n---" and got[5] == "" and got[4] == same and got[7] == "two words" and got[8] == "other"
+    prints = {r.doc_id: r.fp for r in L.line_table(df, True).where("n_words > 0").collect()}
+    met = [i for i in range(20, 20 + len(same)) if any(not (prints[4] ^ prints[i]) >> 16 * k & 0xFFFF for k in range(4))]
+    assert met and all(got[i] == "" for i in met)

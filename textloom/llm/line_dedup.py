@@ -1,13 +1,14 @@
 """Fuzzy line de-duplication with SimHash, pigeonhole blocks and edit distance. Built-in functions only.
 
-Lines are lower-cased and read as words; lines of fewer than MIN_WORDS words are left alone. A line's 64-bit SimHash is taken over the
+Lines are lower-cased and read as words; lines of fewer than MIN_WORDS words are left alone unless ``whole`` is set. A line's 64-bit SimHash is taken over the
 SAMPLE smallest of its distinct word hashes, a sample that like lines share, so that a small edit mostly leaves it as it is. It is cut into
 four blocks. Two fingerprints that differ in at most two bits agree in two blocks, so lines meet under the six pairs of blocks, 32 bits
 each, and are verified by edit similarity. Within a bucket each line is first compared with one head for each class of length, its own and
 the next; only lines that this leaves in different groups are then compared with each other, so a bucket of copies costs a few comparisons
 per line and not one per pair.
 
-With ``whole`` set the fingerprint is taken over all distinct words, lines meet under each single block, and edit similarity alone decides.
+With ``whole`` set the fingerprint is taken over all distinct words (over character grams where a line has fewer than MIN_WORDS, as whole
+lines of Chinese, Japanese or Thai do), every line that isn't blank takes part, lines meet under each single block, and edit similarity alone decides.
 That meets far more alike lines (those within three differing bits for certain), and by chance more unlike ones too: 16 bits are few, so
 comparisons grow faster than the table.
 """
@@ -24,6 +25,8 @@ from textloom.llm.native import hint, let, numbers
 from textloom.storage import stored
 
 MIN_WORDS = 5
+#: Characters of a gram of a line of few words.
+GRAM = 3
 SIMILARITY = 0.8
 SAMPLE = 16
 #: Most differing bits of a pair that is verified; up to two are met with certainty, more if the differing bits leave two blocks alike.
@@ -91,6 +94,11 @@ def simhash_all(hashes: Column) -> Column:
     return F.when(F.size(hashes) <= RUN, short).otherwise(long)
 
 
+def _grams(text: Column) -> Column:
+    """Hashes of the character grams of a text, of the whole if it is shorter than one."""
+    return F.transform(numbers(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.xxhash64(F.substr(text, i, F.lit(GRAM))))
+
+
 def _doc_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("d1"), F.xxhash64(F.lit(1), text, doc_id).alias("d2")]
 
@@ -109,8 +117,10 @@ def line_table(docs: DataFrame, whole: bool = False) -> DataFrame:
     exploded = docs.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
     told = exploded.select(*place, words(F.col("raw")).alias("w"))
     size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
-    hashed = told.select(*place, F.size("w").alias("n_words"), size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), (F.array_distinct("h") if whole else sampled(F.col("h"))).alias("sample"))
+    hashed = told.select(*place, F.size("w").alias("n_words"), size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"), *([F.array_join("w", " ").alias("said")] if whole else []))
+    if whole:
+        hashed = hashed.withColumn("g", F.when(F.col("n_words") < MIN_WORDS, let(F.col("said"), _grams)).otherwise(F.col("h"))).drop("said")
+    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), (F.array_distinct("g") if whole else sampled(F.col("h"))).alias("sample"))
     return drawn.select(*place, "n_words", "k1", "k2", (simhash_all if whole else simhash)(F.col("sample")).alias("fp"), "size")
 
 
@@ -192,14 +202,14 @@ def line_groups(docs: DataFrame, lines: DataFrame, whole: bool = False) -> DataF
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and n_lines and n_removed.
 
-    Of each connected group of like lines the occurrence with the smallest (doc_id, line number) stays, wherever it is. Blank lines and
-    lines of fewer than MIN_WORDS words always stay. A null text stays null with no lines; an empty one has one line. Rows that repeat both
+    Of each connected group of like lines the occurrence with the smallest (doc_id, line number) stays, wherever it is. Blank lines (without
+    a word) always stay, and so do lines of fewer than MIN_WORDS words unless ``whole`` is set. A null text stays null with no lines; an empty one has one line. Rows that repeat both
     id and text count as one document and get the same result each. Ids that are null come first in order. Other columns pass through;
     columns already named n_lines or n_removed are replaced. ``whole`` compares all lines that agree in one block, not two.
     """
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    lines = stored(line_table(base, whole), "lines").where(F.col("n_words") >= MIN_WORDS).drop("n_words")
+    lines = stored(line_table(base, whole), "lines").where(F.col("n_words") >= (1 if whole else MIN_WORDS)).drop("n_words")
     groups = line_groups(base, lines, whole)
     alone = F.col("root").isNull()
     keyed = groups.where(~alone | (F.col("n") > 1)).withColumns({"g1": F.coalesce("root", "k1"), "g2": F.when(alone, F.col("k2"))})
