@@ -52,3 +52,14 @@ def test_lines_of_few_words(spark):
     prints = {r.doc_id: r.fp for r in L.line_table(df, True).where("n_words > 0").collect()}
     met = [i for i in range(20, 20 + len(same)) if any(not (prints[4] ^ prints[i]) >> 16 * k & 0xFFFF for k in range(4))]
     assert met and all(got[i] == "" for i in met)
+
+
+def test_long_lines_by_edit_distance(spark):
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    a = words(1000)
+    scattered = [w if i % 20 else "changed"[: len(w)] for i, w in enumerate(a)]
+    block, other = a[:400] + words(150) + a[550:], words(1000)
+    pairs = [(" ".join(a), " ".join(x)) for x in (scattered, block, other)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(L._alike(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in df.collect()] == [True, True, False]

@@ -31,8 +31,6 @@ SIMILARITY = 0.8
 SAMPLE = 16
 #: Most differing bits of a pair that is verified; up to two are met with certainty, more if the differing bits leave two blocks alike.
 MAX_BITS = 8
-#: Lines over so many characters are verified by their five-word shingles, as edit distance takes the product of two lengths.
-LONG, SHINGLE = 4000, 5
 #: What stands between words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words counted at a time in lanes of 8 bits.
@@ -131,10 +129,6 @@ def _block_keys(fp: Column, whole: bool = False) -> Column:
     return F.array(*(F.lit(c << 32).cast("long") + F.shiftleft(block(i), 16) + block(j) for c, (i, j) in enumerate(combinations(range(4), 2))))
 
 
-def _shingles(text: Column) -> Column:
-    return let(F.split(text, " "), lambda w: F.array_distinct(F.transform(numbers(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(w[i + j] for j in range(SHINGLE))))))
-
-
 def _middles(a: Column, b: Column, then) -> Column:
     """``then`` of what is left of two word arrays without their common first and last words, a space after each word.
 
@@ -151,9 +145,7 @@ def _middles(a: Column, b: Column, then) -> Column:
 def _alike(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    within = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | (F.call_function("levenshtein", m, n, most) >= 0))))
-    shared = F.size(F.array_intersect(_shingles(a), _shingles(b))) >= SIMILARITY * F.size(F.array_union(_shingles(a), _shingles(b)))
-    return F.when(longest <= LONG, within).otherwise(shared)
+    return let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | (F.call_function("levenshtein", m, n, most) >= 0))))
 
 
 def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
