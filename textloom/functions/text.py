@@ -13,6 +13,11 @@ ARTICLES = ("a", "an", "the")
 STRATA = ((0, "0"), (9, "1-9"), (99, "10-99"), (999, "100-999"))
 
 
+def strip(text: Column) -> Column:
+    """A text without the white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Whitespace tokens; a null or blank text has none."""
     return F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), lambda t: t != "")
@@ -45,6 +50,7 @@ def normalize_answer(text: Column) -> Column:
 
 
 def light_normalize(text: Column) -> Column:
+    """Lower case, spaces collapsed."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
@@ -63,20 +69,49 @@ def is_abstention(text: Column, phrases: list[str]) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences: breaks after . ! ? (and a closing quote or bracket) before a capital, digit or quote, and at line ends."""
-    return F.filter(F.transform(F.split(text, r"""\n+|(?<=[.!?]|[.!?]["')\]])\s+(?=["'(\[]?[\p{Lu}\p{N}])"""), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences: a text ends one at a line break, and at white space after . ! or ? where a capital, digit, quote or open bracket follows.
+
+    A quote or bracket that closes after the mark belongs to the sentence before.
+    """
+    ends, opens = "[.!?]", """["'“‘(\\[\\p{Lu}\\p{N}]"""
+    closed = ends + """["'”’)\\]]"""
+    parts = F.split(text, rf"\n+|(?:(?<={ends})|(?<={closed}))\s+(?={opens})")
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
 def _quoted(term: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in term)
 
 
+def occurrences(text: Column, term: Column) -> Column:
+    """How often a term, quoted, stands in a text as whole words, ignoring case; an empty or null term never does."""
+    quoted = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(term, r"([^\p{L}\p{N} ])", r"\\$1"), F.lit(r"(?!\w)"))
+    return F.when((F.coalesce(term, F.lit("")) == "") | text.isNull(), 0).otherwise(F.regexp_count(text, quoted))
+
+
 def swap_aliases(text: Column, aliases: list[str], substitute: str) -> Column:
     """Whole-word replacement of every alias, the longest first, ignoring case."""
-    said = substitute.replace("\\", "\\\\").replace("$", "\\$")
-    for alias in sorted(set(aliases), key=lambda a: (-len(a), a)):
-        text = F.regexp_replace(text, rf"(?i)(?<!\w){_quoted(alias)}(?!\w)", said)
-    return text
+    return swapped_with_count(text, aliases, substitute)["text"]
+
+
+def swapped_with_count(text: Column, aliases: list[str], substitute: str) -> Column:
+    """(text, n): the text with every alias replaced, the longest first, and the number of replacements."""
+    said, n = substitute.replace("\\", "\\\\").replace("$", "\\$"), F.lit(0)
+    for alias in sorted({a for a in aliases if a}, key=lambda a: (-len(a), a)):
+        pattern = rf"(?iU)(?<!\w){_quoted(alias)}(?!\w)"
+        n = n + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, said)
+    return F.struct(text.alias("text"), n.alias("n"))
+
+
+def swapped_by_columns(text: Column, aliases: Column, substitute: Column) -> Column:
+    """``swapped_with_count`` where aliases and substitute are columns; a null substitute leaves the text as it is."""
+    order = F.array_sort(F.array_distinct(F.filter(aliases, lambda a: F.coalesce(a, F.lit("")) != "")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    said = F.regexp_replace(substitute, r"([\\$])", r"\\$1")
+    start = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    quoted = lambda a: F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(a, r"([^\p{L}\p{N} ])", r"\\$1"), F.lit(r"(?!\w)"))
+    swapped = F.aggregate(order, start, lambda x, a: F.struct(F.regexp_replace(x["text"], quoted(a), said).alias("text"), (x["n"] + F.regexp_count(x["text"], quoted(a))).alias("n")))
+    return F.when(substitute.isNull(), start).otherwise(swapped)
 
 
 def frequency_stratum(count: Column) -> Column:
@@ -87,8 +122,8 @@ def frequency_stratum(count: Column) -> Column:
 
 
 def sigmoid_ratio(original: Column, swapped: Column) -> Column:
-    """Preference for the swapped reading from two log-likelihoods, stable at both ends."""
-    x = swapped - original
+    """How much of the preference sits with the original, from two log-likelihoods; stable at both ends."""
+    x = original - swapped
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
@@ -105,16 +140,6 @@ def cut_at_stop(text: Column, stops: list[str]) -> Column:
     return F.substring(said, F.lit(1), F.least(F.length(said), *places)) if places else said
 
 
-def render_math(question: Column, answer: Column) -> Column:
-    """A worked answer without calculator marks, what follows the first #### rewritten as a sentence; null without question or answer."""
-    clean = F.regexp_replace(answer, r"<<[^>]*>>", "")
-    body = F.trim(F.substring_index(clean, "####", 1))
-    final = F.when(F.instr(clean, "####") > 0, F.trim(F.substring(clean, F.instr(clean, "####") + 4, F.length(clean)))).otherwise("")
-    closing = F.when(final != "", F.concat(F.lit("The answer is "), final, F.lit(".")))
-    response = F.concat_ws("\n", F.nullif(body, F.lit("")), closing)
-    return F.when((F.trim(question) != "") & (F.trim(answer) != "") & (response != ""), F.struct(F.trim(question).alias("prompt"), response.alias("response")))
-
-
 def log_bin(popularity: Column) -> Column:
     """Decimal bin of a popularity: <2, 2-3, 3-4 or >=4."""
     size = F.log10(F.greatest(popularity, F.lit(1.0)))

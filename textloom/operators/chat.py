@@ -10,9 +10,9 @@ ROLES = ("system", "user", "assistant")
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns): turns ordered, blank ones dropped."""
+    """(conv_id, turns): turns ordered, those that are blank or have no role dropped."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
-    return rows.groupBy("conv_id").agg(F.filter(ordered, lambda t: F.trim(t["text"]) != "").alias("turns"))
+    return rows.groupBy("conv_id").agg(F.filter(ordered, lambda t: t["role"].isNotNull() & t["text"].rlike(r"\S")).alias("turns"))
 
 
 def valid(turns: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textloom.functions.text import normalize_answer
+from textloom.operators.mixing import running_total
+
 
 def auroc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney AUROC with ties counted half; null if a class is missing.
@@ -31,12 +36,47 @@ def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str] =
     return got.withColumns({"precision": rate("tp", "fp"), "recall": rate("tp", "fn")}).withColumn("f1", 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)))
 
 
-def threshold_sweep(scored: DataFrame, score: str, label: str, quantiles: list[float]) -> DataFrame:
-    """Rates at score quantiles: one pass per operating point over conditional counts."""
-    cuts = scored.agg(F.percentile(score, F.array(*map(F.lit, quantiles))).alias("c")).select(F.posexplode("c").alias("point", "threshold"))
-    flagged = scored.crossJoin(F.broadcast(cuts))  # a handful of thresholds
-    hit = F.col(score) >= F.col("threshold")
-    return flagged.groupBy("point", "threshold").agg(F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp"), F.count_if(~hit & (F.col(label) == 1)).alias("fn"))
+def quantiles(df: DataFrame, value: str, at: list[float], together: int = 100_000) -> list[float | None]:
+    """Exact quantiles with linear interpolation between order statistics, by narrowing ranges; nulls don't count.
+
+    Each wanted rank is sought in a range of values that holds it: a pass counts the values of the range in 64 cuts of approximate
+    quantiles, until few enough are left to be sorted. No task ever sorts the column.
+    """
+    col = F.col(value).cast("double")
+    n, low, high = df.agg(F.count(col), F.min(col), F.max(col)).first()
+    if not n:
+        return [None] * len(at)
+
+    def kth(k: int) -> float:
+        a, b, below, inside = low, high, 0, n  # values in [a, b]; ``below`` are under a
+        while inside > together and a < b:
+            part = df.where((col >= a) & (col <= b))
+            cuts = sorted({a, b, *part.agg(F.percentile_approx(col, [i / 64 for i in range(1, 64)], 1000)).first()[0]})
+            counts = part.agg(*(F.count_if(col < c).alias(f"l{i}") for i, c in enumerate(cuts)), *(F.count_if(col <= c).alias(f"e{i}") for i, c in enumerate(cuts))).first()
+            at_cut = next(((c, counts[f"l{i}"]) for i, c in enumerate(cuts) if below + counts[f"l{i}"] <= k < below + counts[f"e{i}"]), None)
+            if at_cut:
+                return at_cut[0]
+            i = max(i for i in range(len(cuts)) if below + counts[f"e{i}"] <= k)
+            # strictly between two cuts: the next values stand in for open ends
+            ends = part.where((col > cuts[i]) & (col < cuts[i + 1])).agg(F.min(col), F.max(col), F.count(col)).first()
+            below, a, b, inside = below + counts[f"e{i}"], *ends
+        return df.where((col >= a) & (col <= b)).select(col.alias("v")).orderBy("v").limit(k - below + 1).agg(F.max("v")).first()[0]
+
+    ranks = {k: kth(k) for k in sorted({int(f(q * (n - 1))) for q in at for f in (math.floor, math.ceil)})}
+    found = []
+    for q in at:
+        x = q * (n - 1)
+        lower, upper = ranks[math.floor(x)], ranks[math.ceil(x)]
+        found.append(lower + (upper - lower) * (x - math.floor(x)))
+    return found
+
+
+def threshold_sweep(scored: DataFrame, score: str, label: str, at: list[float]) -> DataFrame:
+    """Rates at score quantiles: one pass over conditional counts, an operating point each."""
+    cuts = quantiles(scored, score, at)
+    hit = lambda c: F.col(score) >= F.lit(c)
+    points = [F.struct(F.lit(i).alias("point"), F.lit(c).cast("double").alias("threshold"), F.count_if(hit(c) & (F.col(label) == 1)).alias("tp"), F.count_if(hit(c) & (F.col(label) == 0)).alias("fp"), F.count_if(~hit(c) & (F.col(label) == 1)).alias("fn")) for i, c in enumerate(cuts)]
+    return scored.agg(F.array(*points).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def cluster_mean_se(df: DataFrame, value: str, cluster: str) -> DataFrame:
@@ -49,10 +89,12 @@ def cluster_mean_se(df: DataFrame, value: str, cluster: str) -> DataFrame:
 
 
 def paired_counts(df: DataFrame, a: str, b: str) -> DataFrame:
-    """McNemar-style counts of two hit columns."""
+    """McNemar-style counts of two hit columns, the difference of their rates, its paired standard error and z (0 without spread)."""
     got = df.agg(F.count_if(F.col(a) & ~F.col(b)).alias("a_only"), F.count_if(~F.col(a) & F.col(b)).alias("b_only"), F.count("*").alias("n"))
-    sigma = F.sqrt(F.col("a_only") + F.col("b_only"))
-    return got.withColumn("diff", (F.col("a_only") - F.col("b_only")) / F.col("n")).withColumn("z", (F.col("a_only") - F.col("b_only")) / F.nullif(sigma, F.lit(0.0)))
+    apart, rows = F.col("a_only") - F.col("b_only"), F.greatest("n", F.lit(1))
+    sigma = F.sqrt(F.greatest(F.col("a_only") + F.col("b_only") - apart * apart / rows, F.lit(0.0))) / rows
+    got = got.withColumns({"diff": apart / rows, "sigma": sigma})
+    return got.withColumn("z", F.when(F.col("sigma") > 0, F.col("diff") / F.col("sigma")).otherwise(0.0))
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -62,6 +104,29 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(2.0 * same / (F.size(a) + F.size(b)))
 
 
+def answer_scores(prediction: Column, references: Column) -> Column:
+    """(f1, exact) of an answer, normalised, against the best of its references; without references 0 and false."""
+    words = lambda t: F.filter(F.split(normalize_answer(t), " "), lambda w: w != "")
+    own = words(prediction)
+    each = F.transform(references, lambda r: token_f1(own, words(r)))
+    return F.struct(F.coalesce(F.array_max(each), F.lit(0.0)).alias("f1"), F.coalesce(F.exists(references, lambda r: normalize_answer(r) == normalize_answer(prediction)), F.lit(False)).alias("exact"))
+
+
+def equal_count_bins(df: DataFrame, value: str, tie: str, bins: int, name: str = "bin") -> DataFrame:
+    """``df`` with bins from 1 of equal count by (value, tie), the first ones taking one row more; as ntile, but no task ranks all rows.
+
+    Rows are numbered over 256 ranges of the value between approximate quantiles; equal values lie in one range.
+    """
+    n = df.count()
+    cuts = df.agg(F.percentile_approx(F.col(value), [i / 256 for i in range(1, 256)], 10_000)).first()[0] or []
+    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    ranked = running_total(df, bucket, [F.col(value), F.col(tie)], F.lit(1), "__k")
+    base, extra = divmod(n, bins)
+    wide = extra * (base + 1)
+    bin_of = F.when(F.col("__k") <= wide, F.floor((F.col("__k") - 1) / (base + 1)) + 1).otherwise(F.floor((F.col("__k") - 1 - wide) / max(base, 1)) + extra + 1)
+    return ranked.withColumn(name, bin_of.cast("int")).drop("__k")
+
+
 def rank_of_gold(scores: Column, gold: Column) -> Column:
     """Rank of element ``gold`` (from 0) among scores, the best 1, ties counted half."""
     own = F.get(scores, gold)
@@ -73,8 +138,9 @@ def binomial_sigma(p: Column, n: Column) -> Column:
 
 
 def softmax(x: Column, beta: float) -> Column:
-    top = F.array_max(x)
-    weights = F.transform(x, lambda v: F.exp(-(v - F.array_min(x)) * beta)) if beta >= 0 else F.transform(x, lambda v: F.exp((top - v) * beta))
+    """softmax(-x / beta) of an array of costs: small beta puts all on the least, large beta spreads evenly."""
+    least = F.array_min(x)
+    weights = F.transform(x, lambda v: F.exp((least - v) / beta))
     return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda s, v: s + v))
 
 
@@ -88,8 +154,13 @@ def first_confident(p: Column, tau: float) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(p) - 1)
 
 
-def lower_hull(points: DataFrame, at: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """The lower convex hull of a few points, read at the x of ``at``: the least chord over pairs that straddle it."""
+def lower_hull(points: DataFrame, at: DataFrame, x: str = "x", y: str = "y", most: int = 1000) -> DataFrame:
+    """The lower convex hull of at most ``most`` points, read at the x of ``at``: the least chord over pairs that straddle it.
+
+    The bound is checked, as the chords of all pairs are broadcast.
+    """
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"a hull of over {most} points")
     a, b = points.select(F.col(x).alias("x0"), F.col(y).alias("y0")), points.select(F.col(x).alias("x1"), F.col(y).alias("y1"))
     spans = at.join(F.broadcast(a.join(b, F.col("x0") <= F.col("x1"))), (F.col("x0") <= F.col(x)) & (F.col(x) <= F.col("x1")))
     chord = F.when(F.col("x0") == F.col("x1"), F.least("y0", "y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0)))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.sizes import hint
+
 
 def windows(docs: DataFrame, width: int, least: int, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(key, window, start, tokens): consecutive windows of a document, a last one under ``least`` tokens dropped."""
@@ -37,28 +39,42 @@ def grams(tokens: Column, n: int, stride: int = 1) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_join(F.slice(tokens, s + 1, n), " ").alias("gram")))
 
 
-def overlap_share(clean: DataFrame, train: DataFrame, n: int, stride: int, key: str) -> DataFrame:
-    """(key, n_tokens, covered): tokens of each clean document that lie in a gram which some training document has."""
-    tested = clean.select(key, F.size("tokens").alias("n_tokens"), F.explode_outer(grams(F.col("tokens"), n, stride)).alias("g"))
-    seen = train.select(F.explode(grams(F.col("tokens"), n)).alias("g")).select(F.col("g.gram").alias("gram")).distinct()
-    hit = tested.join(seen, tested.g.gram == seen.gram, "left_semi").select(key, F.explode(F.sequence(F.col("g.at"), F.col("g.at") + n - 1)).alias("p")).distinct()
+def gram_hashes(tokens: Column, n: int, stride: int = 1) -> Column:
+    """(at, h1, h2) of every ``stride``-th run of n tokens: 128 bits stand for it, so no text of a gram is ever built or shuffled."""
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("at"), F.xxhash64(F.slice(tokens, s + 1, n)).alias("h1"), F.xxhash64(F.lit(1), F.slice(tokens, s + 1, n)).alias("h2")))
+
+
+def overlap_share(clean: DataFrame, train: DataFrame, n: int, stride: int, key: str, mask: str | None = None) -> DataFrame:
+    """(key, n_tokens, covered): tokens of each clean document that lie in a gram which some training document has.
+
+    With ``mask`` a training gram counts only if all its tokens are supervised. The training side's grams meet the clean ones (broadcast if
+    their bytes are measured to be few) before anything of it is shuffled; only met grams are made distinct.
+    """
+    tested = clean.select(key, F.explode(gram_hashes(F.col("tokens"), n, stride)).alias("g")).select(key, "g.at", "g.h1", "g.h2")
+    grams = gram_hashes(F.col("tokens"), n)
+    if mask:
+        grams = F.filter(grams, lambda g: F.array_min(F.slice(mask, g["at"] + 1, n)) == 1)
+    wanted = tested.select("h1", "h2").distinct()
+    seen = train.select(F.explode(grams).alias("g")).select("g.h1", "g.h2").join(hint(wanted), ["h1", "h2"], "left_semi").distinct()
+    hit = tested.join(hint(seen), ["h1", "h2"], "left_semi").select(key, F.explode(F.sequence(F.col("at"), F.col("at") + n - 1)).alias("p")).distinct()
     return clean.select(key, F.size("tokens").alias("n_tokens")).join(hit.groupBy(key).agg(F.count("*").alias("covered")), key, "left").fillna(0, ["covered"])
 
 
 def sequence_counts(docs: DataFrame, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """(pattern, n): overlapping occurrences of token sequences inside documents; patterns are space-joined and may repeat.
 
-    One equi-join per pattern length, on exploded slices; occurrences don't cross documents. Empty patterns occur nowhere.
+    One pass over the documents takes the runs of every length that a pattern has, as hashes; they meet the patterns where they are read
+    (broadcast if their bytes are measured to be few). Occurrences don't cross documents; empty patterns occur nowhere.
     """
-    sized = patterns.select(pattern, F.size(F.split(pattern, " ")).alias("len")).where(F.col(pattern) != "").distinct()
-    found = None
-    for row in sized.select("len").distinct().orderBy("len").collect():  # the lengths of a pattern list are few
-        own = sized.where(F.col("len") == row.len)
-        slices = docs.select(F.explode(grams(F.col("tokens"), row.len)).alias("g")).select(F.col("g.gram").alias(pattern))
-        part = slices.join(F.broadcast(own.select(pattern)) if own.count() < 100_000 else own.select(pattern), pattern).groupBy(pattern).agg(F.count("*").alias("n"))
-        found = part if found is None else found.unionByName(part)
-    counts = patterns.select(pattern, F.lit(0).cast("long").alias("n")) if found is None else patterns.join(found, pattern, "left")
-    return counts.select(pattern, F.coalesce("n", F.lit(0)).alias("n"))
+    split = F.split(pattern, " ")
+    sized = patterns.where(F.col(pattern) != "").select(pattern, F.size(split).alias("len"), F.xxhash64(split).alias("h1"), F.xxhash64(F.lit(1), split).alias("h2")).distinct()
+    widths = sorted(r.len for r in sized.select("len").distinct().collect())  # the lengths of a pattern list are few
+    if not widths:
+        return patterns.select(pattern, F.lit(0).cast("long").alias("n"))
+    every = F.concat(*(gram_hashes(F.col("tokens"), n) for n in widths))
+    met = docs.select(F.explode(every).alias("g")).select("g.h1", "g.h2").join(hint(sized), ["h1", "h2"]).groupBy(pattern).agg(F.count("*").alias("n"))
+    return patterns.join(met, pattern, "left").select(pattern, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _pack(lengths: list[int], row_len: int, seps: int, split: bool) -> list[tuple[int, int, int, int, int]]:
@@ -129,24 +145,33 @@ def packed_evidence(docs: DataFrame, row_len: int, evidence_len: int, shards: in
     return dealt.groupBy("shard").applyInPandas(run, "key long, shard long, row long, offset long, evidence_offset long, weight double").withColumnRenamed("key", key)
 
 
-def sentence_chunks(docs: DataFrame, cap: int, key: str = "doc_id", sentences: str = "sentences") -> DataFrame:
-    """(key, chunk, text): whole sentences packed up to ``cap`` tokens; a longer sentence is cut into pieces that stand alone."""
+def sentence_chunks(docs: DataFrame, cap: int, key: str = "doc_id", sentences: str = "sentences", prefix: str | None = None, least: int = 8) -> DataFrame:
+    """(key, chunk, text): whole sentences packed up to ``cap`` tokens; a longer sentence is cut into pieces that stand alone.
+
+    ``prefix`` names a column put in front of every chunk; its tokens and one more are taken off the cap, and less than ``least`` tokens
+    left is an error. A text without sentences has no chunk.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, told in zip(pdf[key], pdf[sentences], strict=True):
+            for doc, told, before in zip(pdf[key], pdf["sentences"], pdf["prefix"], strict=True):
+                room = cap - len(before.split()) - 1 if before else cap
+                if room < least:
+                    raise ValueError(f"a cap of {cap} leaves {room} tokens beside the prefix {before!r}")
                 chunks, open_ = [], []
                 for words in (s.split() for s in (told if told is not None else [])):
-                    if open_ and len(open_) + len(words) > cap:
+                    alone = len(words) > room
+                    if open_ and (alone or len(open_) + len(words) > room):
                         chunks.append(open_)
                         open_ = []
-                    if len(words) > cap:
-                        chunks += [words[i : i + cap] for i in range(0, len(words), cap)]
+                    if alone:
+                        chunks += [words[i : i + room] for i in range(0, len(words), room)]
                     else:
                         open_ = open_ + words
                 chunks += [open_] if open_ else []
-                out += [(doc, i, " ".join(c)) for i, c in enumerate(chunks)]
+                out += [(doc, i, before + " ".join(c)) for i, c in enumerate(chunks)]
             yield pd.DataFrame(out, columns=[key, "chunk", "text"])
 
-    return docs.select(key, sentences).mapInPandas(run, f"{key} long, chunk int, text string")
+    before = F.coalesce(F.col(prefix), F.lit("")) if prefix else F.lit("")
+    return docs.select(key, F.col(sentences).alias("sentences"), before.alias("prefix")).mapInPandas(run, f"{key} long, chunk int, text string")

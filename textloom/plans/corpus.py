@@ -58,7 +58,7 @@ def order_prefix_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("replay_passes", f"""
-WITH p AS (SELECT d.*, p.pass FROM ({_LEN}) d, (SELECT unnest([1, 2, 3]) AS pass) p),
+WITH p AS (SELECT d.*, p.pass FROM ({_LEN}) d, (SELECT unnest([1, 2, 3]) AS pass) p WHERE n_tokens > 0),
 r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY pass, sha1('42:' || pass || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS running FROM p)
 SELECT source, pass, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM r WHERE running <= 40000 GROUP BY ALL""")
 def replay_passes(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,12 +86,6 @@ def hash_validation_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.count_if(held).alias("val"))
 
 
-@register("crc_validation_split")
-def crc_validation_split(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.concat_ws(":", F.lit("42"), "source", F.col("doc_id").cast("string")).cast("binary")
-    return table(spark, sf, "documents").select("doc_id", (F.pmod(F.crc32(key), F.lit(1_000_000)) < 50_000).alias("val"))
-
-
 @register("sample_per_source", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha1('42:' || doc_id), doc_id) <= 7")
 def sample_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.sample_per_group(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 7)
@@ -193,34 +187,13 @@ def repeated_ngram(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", T.has_repeated_ngram(F.col("tokens"), 4).alias("repeated"))
 
 
-@register("packed_split")
-def packed_split(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.packed_blocks(lengths(spark, sf).select("doc_id", "n_tokens"), 1024, 8, seps=2, split=True)
-
-
-@register("packed_next_fit")
-def packed_next_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.packed_blocks(lengths(spark, sf).select("doc_id", "n_tokens"), 2048, 8)
-
-
-@register("packed_evidence")
-def packed_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    sized = lengths(spark, sf).select("doc_id", "n_tokens", F.pmod("n_tokens", F.lit(97)).alias("n_evidence"), (F.col("n_tokens") / 2).cast("long").alias("n_supervised"))
-    return tokens.packed_evidence(sized, 2048, 256, 8)
-
-
 @register("row_estimate", f"SELECT doc_id % 8 AS shard, ((sum(n_tokens + 1) // 1024) + 1)::BIGINT AS rows FROM ({_LEN}) GROUP BY 1")
 def row_estimate(spark: SparkSession, sf: str) -> DataFrame:
     got = lengths(spark, sf).groupBy(F.pmod("doc_id", F.lit(8)).alias("shard")).agg(F.sum(F.col("n_tokens") + 1).alias("t"))
     return got.select("shard", (F.floor(F.col("t") / 1024) + 1).alias("rows"))
 
 
-@register("sentence_chunks")
-def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.sentence_chunks(table(spark, sf, "documents").select("doc_id", T.split_sentences(F.col("text")).alias("sentences")), 64)
-
-
-_TURNS = "SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE trim(coalesce(text, '')) <> ''"
+_TURNS = "SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IS NOT NULL AND regexp_replace(coalesce(text, ''), '\\s+', '', 'g') <> ''"
 
 
 @register("chat_render", f"SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM ({_TURNS}) GROUP BY conv_id")
@@ -236,21 +209,23 @@ def chat_encode(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("conv_id", F.size("x").cast("long").alias("n_ids"), F.aggregate("x", F.lit(0).cast("long"), lambda a, t: a + t["mask"]).alias("n_supervised"))
 
 
-@register("chat_prompt")
-def chat_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return chat.conversations(table(spark, sf, "conversations")).select("conv_id", chat.prompt(F.col("turns")).alias("ids"))
-
-
 @register("normalized_answers", """
 SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM benchmark""")
 def normalized_answers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", T.normalize_answer(F.col("text")).alias("answer"))
 
 
-@register("swapped_aliases", "SELECT item_id, regexp_replace(regexp_replace(text, '\\b(?i:there)\\b', 'X$1', 'g'), '\\b(?i:the)\\b', 'X$1', 'g') AS text FROM benchmark WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+_SEP = r"[^\pL\pN\pM_]"
+#: Characters between words are doubled, so that every word has a border of its own on both sides, and made single again.
+_SWAP = f"(?i)(^|{_SEP}){{0}}($|{_SEP})"
+
+
+@register("swapped_aliases", f"""
+WITH d AS (SELECT item_id, regexp_replace(text, '({_SEP})', '\\1\\1', 'g') AS t FROM benchmark), a AS (SELECT item_id, len(regexp_extract_all(t, '{_SWAP.format('there')}')) AS n, regexp_replace(t, '{_SWAP.format('there')}', '\\1XQ1\\2', 'g') AS t FROM d),
+b AS (SELECT item_id, n + len(regexp_extract_all(t, '{_SWAP.format('the')}')) AS n, regexp_replace(t, '{_SWAP.format('the')}', '\\1XQ1\\2', 'g') AS t FROM a)
+SELECT item_id, replace(regexp_replace(t, '({_SEP}){_SEP}', '\\1', 'g'), 'XQ1', 'X$1') AS text, n::INT AS n FROM b""")
 def swapped_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_only = ~F.col("text").rlike(r"[^ -~\n]")
-    return table(spark, sf, "benchmark").where(ascii_only).select("item_id", T.swap_aliases(F.col("text"), ["the", "there"], "X$1").alias("text"))
+    return table(spark, sf, "benchmark").select("item_id", T.swapped_with_count(F.col("text"), ["the", "there"], "X$1").alias("x")).select("item_id", "x.text", "x.n")
 
 
 @register("fixed_conditions", f"""
@@ -261,17 +236,6 @@ def fixed_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.fixed_groups(questions, F.col("n") + F.when(F.col("condition").isin("gold", "mixed"), 20).otherwise(0) <= 60).select("qid", "condition")
 
 
-@register("evidence_rows")
-def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark")
-    questions = items.select(F.col("item_id").alias("qid"), F.col("item_id").alias("gold_id"), "text")
-    pool = items.select(F.col("item_id").alias("chunk_id"), "text")
-    drawn = evidence.distractors(questions, pool, 3, spread=4)
-    rows = questions.join(drawn, "qid", "left").withColumn("condition", mixing.weighted_choice(T.draw(3, F.col("qid")), {"gold": 1, "mixed": 1, "distractors": 1, "none": 1}))
-    made = evidence.apply_condition(F.col("condition"), F.array("text"), F.coalesce("distractors", F.array().cast("array<string>")), F.substring("text", 1, 20))
-    return rows.select("qid", "condition", made.alias("x")).select("qid", "condition", mixing.cap_chunks(F.col("x.chunks"), 3).alias("chunks"), "x.target", "x.answerable")
-
-
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streams.windowed_counts(table(spark, sf, "events"))

@@ -61,24 +61,24 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("paired_counts", f"""
 WITH c AS (SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only, count(*) AS n FROM (SELECT quality = 1 AS a, score > 1500 AS b FROM ({_SCORED})))
-SELECT a_only, b_only, n, round((a_only - b_only) / n, 6) AS diff, round((a_only - b_only) / sqrt(a_only + b_only), 6) AS z FROM c""")
+SELECT a_only, b_only, n, round((a_only - b_only) / n, 6) AS diff, round(sqrt(a_only + b_only - pow(a_only - b_only, 2) / n) / n, 6) AS sigma, round((a_only - b_only) / sqrt(a_only + b_only - pow(a_only - b_only, 2) / n), 6) AS z FROM c""")
 def paired_counts(spark: SparkSession, sf: str) -> DataFrame:
     hits = scored(spark, sf).select((F.col("quality") == 1).alias("a"), (F.col("score") > 1500).alias("b"))
-    return M.paired_counts(hits, "a", "b").withColumns({"diff": F.round("diff", 6), "z": F.round("z", 6)})
+    return M.paired_counts(hits, "a", "b").withColumns({c: F.round(c, 6) for c in ("diff", "sigma", "z")})
 
 
-@register("equal_count_bins", "SELECT bin, count(*) AS n, round(avg(score), 4) AS mean, round(avg(quality), 6) AS rate FROM (SELECT score, quality, ntile(10) OVER (ORDER BY score, doc_id) AS bin FROM (" + _SCORED + ")) GROUP BY bin")
+@register("equal_count_bins", "SELECT bin::INT AS bin, count(*) AS n, round(avg(score), 4) AS mean, round(avg(quality), 6) AS rate FROM (SELECT score, quality, ntile(10) OVER (ORDER BY score, doc_id) AS bin FROM (" + _SCORED + ")) GROUP BY bin")
 def equal_count_bins(spark: SparkSession, sf: str) -> DataFrame:
-    binned = scored(spark, sf).withColumn("bin", F.ntile(10).over(Window.orderBy("score", "doc_id")))
+    binned = M.equal_count_bins(scored(spark, sf), "score", "doc_id", 10)
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.avg("quality"), 6).alias("rate"))
 
 
 @register("tertile_tiers", "WITH q AS (SELECT quantile_cont(c_acctbal, [1/3.0, 2/3.0]) AS c FROM customer) SELECT CASE WHEN c_acctbal <= c[1] THEN 'low' WHEN c_acctbal <= c[2] THEN 'mid' ELSE 'high' END AS tier, count(*) AS n FROM customer, q GROUP BY 1")
 def tertile_tiers(spark: SparkSession, sf: str) -> DataFrame:
     people = table(spark, sf, "customer").select("c_acctbal")
-    cuts = people.agg(F.percentile("c_acctbal", F.array(F.lit(1 / 3.0), F.lit(2 / 3.0))).alias("c"))
-    tier = F.when(F.col("c_acctbal") <= F.col("c")[0], "low").when(F.col("c_acctbal") <= F.col("c")[1], "mid").otherwise("high")
-    return people.crossJoin(F.broadcast(cuts)).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    low, high = M.quantiles(people, "c_acctbal", [1 / 3, 2 / 3])
+    tier = F.when(F.col("c_acctbal") <= low, "low").when(F.col("c_acctbal") <= high, "mid").otherwise("high")
+    return people.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
 @register("frequency_strata", "SELECT CASE WHEN n <= 0 THEN '0' WHEN n <= 9 THEN '1-9' WHEN n <= 99 THEN '10-99' WHEN n <= 999 THEN '100-999' ELSE '1000+' END AS stratum, count(*) AS tokens FROM (SELECT count(*) AS n FROM (SELECT unnest(" + TOKENS.format("text") + ") AS t FROM documents) GROUP BY t) GROUP BY 1")
@@ -87,16 +87,18 @@ def frequency_strata(spark: SparkSession, sf: str) -> DataFrame:
     return counts.groupBy(T.frequency_stratum(F.col("n")).alias("stratum")).agg(F.count("*").alias("tokens"))
 
 
-_PAIRS = f"SELECT a.item_id, {TOKENS.format('a.text')} AS a, {TOKENS.format('b.text')} AS b FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
+_NORM = "list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
 
 
 @register("token_f1", f"""
-WITH p AS ({_PAIRS}), m AS (SELECT item_id, len(a) + len(b) AS n, list_sum([least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))) for t in list_distinct(a)]) AS same FROM p)
-SELECT item_id, round(2.0 * same / n, 6) AS f1, false AS exact FROM m""")
+WITH p AS (SELECT a.item_id, a.text AS said, b.text AS other FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), r AS (SELECT item_id, {_NORM.format("said")} AS a, unnest([other, CASE WHEN item_id % 4 = 0 THEN 'The ' || said || '!' ELSE 'nothing' END]) AS ref FROM p),
+q AS (SELECT item_id, a, {_NORM.format("ref")} AS b FROM r), m AS (SELECT item_id, a = b AS same_all, len(a) + len(b) AS n, list_sum([least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))) for t in list_distinct(a)]) AS same FROM q)
+SELECT item_id, round(max(2.0 * same / n), 6) AS f1, bool_or(same_all) AS exact FROM m GROUP BY item_id""")
 def token_f1(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("a"))
-    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
-    return pairs.select("item_id", F.round(M.token_f1(F.col("a"), F.col("b")), 6).alias("f1"), (F.col("a") == F.col("b")).alias("exact"))
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
+    references = F.array("other", F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("The "), "text", F.lit("!"))).otherwise("nothing"))
+    return pairs.select("item_id", M.answer_scores(F.col("text"), references).alias("x")).select("item_id", F.round("x.f1", 6).alias("f1"), "x.exact")
 
 
 _LADDER = "SELECT o_custkey AS g, list(o_totalprice / 100000 ORDER BY o_orderkey) AS x FROM orders GROUP BY 1"

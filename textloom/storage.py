@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session; where none is set the warehouse's, and a temporary one only if all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+    alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textloom")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
