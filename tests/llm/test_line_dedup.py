@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from textloom.llm import line_dedup as L
 
+SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-def signed(v):
-    return v - (1 << 64) if v >> 63 else v
 
+def said(line):
+    return " ".join(w for w in SPLIT.split(line.lower()) if w)
 
-def brute_simhash(words):
-    hashes = sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words})[: L.SAMPLE]
+
+def brute_print(line):
+    """SimHash over all distinct words of a normalised line, over character grams if it has fewer than five."""
+    found = set(line.split(" "))
+    if len(line.split(" ")) < 5:
+        found = {line[i : i + 3] for i in range(max(1, len(line) - 2))}
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in found]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -27,16 +33,23 @@ def edit_distance(a, b):
     return last[-1]
 
 
+def alike(a, b):
+    return edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def meet(x, y):
+    return (x ^ y).bit_count() <= 12 and any(not (x ^ y) >> 16 * k & 0xFFFF for k in range(4))
+
+
 def brute(docs):
-    """Texts after removal, from all pairs of lines that meet in two blocks and are alike."""
+    """Texts after removal, from all pairs of distinct lines; docs are (key, text) with orderable keys."""
     places = defaultdict(list)
     for i, text in docs:
         for k, line in enumerate((text or "").split("\n")):
-            said = " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()) if w)
-            if len(said.split(" ")) >= 5:
-                places[said].append((i, k))
+            if said(line):
+                places[said(line)].append((i, k))
     lines = list(places)
-    prints, parent = {s: brute_simhash(s.split(" ")) for s in lines}, {s: s for s in lines}
+    prints, parent = {s: brute_print(s) for s in lines}, {s: s for s in lines}
 
     def find(x):
         while parent[x] != x:
@@ -45,9 +58,7 @@ def brute(docs):
 
     for n, a in enumerate(lines):
         for b in lines[:n]:
-            x = prints[a] ^ prints[b]
-            met = sum(not x >> 16 * k & 0xFFFF for k in range(4)) >= 2
-            if met and x.bit_count() <= L.MAX_BITS and edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            if meet(prints[a], prints[b]) and alike(a, b):
                 parent[find(a)] = find(b)
     groups = defaultdict(list)
     for s in lines:
@@ -59,7 +70,7 @@ def brute(docs):
 def corpus():
     rng = random.Random(3)
     words = [f"word{i}" for i in range(300)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 60))) for _ in range(50)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(50)]
     docs = []
     for i in range(100):
         lines = []
@@ -69,36 +80,124 @@ def corpus():
                 line[rng.randrange(len(line))] = f"changed{rng.randrange(3)}"
             lines.append(" ".join(line).capitalize() + rng.choice(["", ".", "!"]))
         docs.append((i, "\n".join(lines)))
-    # one word over and over, in many lengths
+    # one word over and over, in many lengths; a family of near copies that crowds its buckets
     docs += [(200 + n, " ".join(["again"] * n)) for n in range(5, 60)]
-    return docs + [(500, None), (501, ""), (502, "\n\n"), (503, "a b c d e\n\na b c d e")]
+    family = [rng.choice(words) for _ in range(40)]
+    docs += [(300 + n, " ".join([*family[: n % 40], f"new{n}", *family[n % 40 + 1 :]])) for n in range(120)]
+    return docs + [(500, None), (501, ""), (502, "\n\n"), (503, "a b c d e\n\na b c d e"), (504, "---\nLes."), (505, "les"), (506, "one")]
 
 
 def test_matches_brute_force(spark):
     docs = corpus()
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n_lines": F.lit("old"), "key": F.lit(1), "k1": F.lit(2), "fp": F.lit(3)})
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"n_lines": F.lit("old"), "key": F.lit(1), "k1": F.lit(2), "__D1": F.lit(3), "gone": F.lit(4)})
     got = L.deduplicated(df)
-    assert got.columns == ["doc_id", "text", "key", "k1", "fp", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "key", "k1", "__D1", "gone", "n_lines", "n_removed"]
     rows = got.collect()
-    assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((i, t or "") for i, t in brute(docs))
+    want = dict(brute(docs))
+    assert {r.doc_id: r.text for r in rows} == want and len(rows) == len(docs)
     by = {r.doc_id: r for r in rows}
-    assert by[500].text is None and (by[500].n_lines, by[501].n_lines, by[502].n_lines) == (0, 1, 3) and by[503].text == "a b c d e\n" and by[503].n_removed == 1
+    assert (by[500].n_lines, by[501].n_lines, by[502].n_lines) == (0, 1, 3) and by[503].text == "a b c d e\n" and by[503].n_removed == 1
+    assert by[504].text == "---\nLes." and by[505].text == "" and sum(not want[300 + n] for n in range(120)) > 60
+
+
+def test_crowds_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    seen = []
+    for crowd in (1, 1 << 30):
+        monkeypatch.setattr(L, "CROWD", crowd)
+        seen.append(sorted((r.doc_id, r.text or "") for r in L.deduplicated(df).collect()))
+    assert seen[0] == seen[1]
 
 
-def test_rows_that_repeat_and_null_ids(spark):
+def test_rows_that_repeat_null_ids_and_other_counts(spark):
     line = "the same line of words again"
-    rows = [(1, line), (1, line), (2, line + "\nother"), (None, line)]
-    got = sorted((str(r.doc_id), r.text) for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [("1", ""), ("1", ""), ("2", "other"), ("None", line)]
+    rows = [(1, line, "a"), (1, line, "b"), (2, line + "\nother\n\nown words", "c"), (None, line, "d"), (3, "alone here\n\n", "e"), (3, "alone here\n\n", "f"), (3, "alone here\n\n", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string")
+    got = L.deduplicated(df, n_lines="lines_of", n_removed="removed_of")
+    assert got.columns == ["doc_id", "text", "n_removed", "lines_of", "removed_of"]
+    out = sorted((str(r.doc_id), r.text) for r in got.collect())
+    assert out == [("1", ""), ("1", ""), ("2", "other\n\nown words"), ("3", "\n"), ("3", "\n"), ("3", "alone here\n\n"), ("None", line)]
+    assert sorted(r.n_removed for r in got.collect()) == list("abcdefg")
 
 
 def test_no_rows(spark):
     assert L.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_middles_keep_the_edit_distance(spark):
+def test_middles_keep_the_edit_distance(spark, monkeypatch):
     rng = random.Random(1)
     pairs = [(" ".join(rng.choice("ab ccc d".split()) for _ in range(rng.randrange(5, 9))), " ".join(rng.choice("ab ccc d".split()) for _ in range(rng.randrange(5, 9)))) for _ in range(200)]
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", L._alike(F.col("a"), F.col("b")).alias("x"))
-    for r in df.collect():
-        assert r.x == (edit_distance(r.a, r.b) <= int(0.2 * max(len(r.a), len(r.b)) + 1e-9))
+    for plain in (0, 400):
+        monkeypatch.setattr(L, "PLAIN", plain)
+        df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", L._alike(F.col("a"), F.col("b")).alias("x"))
+        assert all(r.x == alike(r.a, r.b) for r in df.collect())
+
+
+def test_simhash_of_lines_of_any_length(spark):
+    texts = [" ".join(f"w{n}x{i}" for i in range(n)) for n in (1, 2, 4, 5, 126, 127, 128, 400, 16_383, 16_384, 20_000)] + ["ab", "今日は天気がとても良いです", "é" * 9, "x" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fp & (1 << 64) - 1 for r in L.line_table(df).collect()}
+    assert got == {i: brute_print(t) for i, t in enumerate(texts)}
+
+
+def test_lines_of_few_words(spark):
+    same = "今日は天気がとても良いですから公園へ行って友達と一緒に昼ご飯を食べました"
+    rows = [(1, "Les."), (2, "les"), (3, "Les!\n\n---\n---"), (4, same), (5, same), (7, "two words"), (8, "other")]
+    rows += [(20 + i, same[:i] + "山" + same[i:]) for i in range(len(same))]
+    got = {r.doc_id: r.text for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute(rows))
+    assert got[2] == "" and got[3] == "\n---\n---" and got[5] == "" and sum(t == "" for i, t in got.items() if i >= 20) > 10
+
+
+def test_long_lines_by_edit_distance(spark):
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    a = words(1000)
+    scattered = [w if i % 20 else "changed"[: len(w)] for i, w in enumerate(a)]
+    block, other = a[:400] + words(150) + a[550:], words(1000)
+    pairs = [(" ".join(a), " ".join(x)) for x in (scattered, block, other)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(L._alike(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in df.collect()] == [True, True, False]
+
+
+def test_anchors_bound_the_edit_distance(spark):
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(150):
+        a = [rng.choice("ab ccc d".split()) if rng.random() < 0.5 else f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 30))]
+        b = [w for w in a if rng.random() > 0.1]
+        for _ in range(rng.randrange(0, 4)):
+            b.insert(rng.randrange(len(b) + 1), f"w{rng.randrange(60)}")
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", L._anchored(F.col("a"), F.col("b")).alias("x"))
+    said = lambda w: "".join(v + " " for v in w)
+    found = [(r.x, edit_distance(said(r.a), said(r.b))) for r in df.collect()]
+    assert all(x >= d for x, d in found) and sum(x == d for x, d in found) > 100
+
+
+def test_very_long_near_copies(spark):
+    rng = random.Random(6)
+    a = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(9000)]
+    b = a.copy()
+    for at in rng.sample(range(len(b)), 30):
+        b[at] = "changed"
+    got = {r.doc_id: r.n_removed for r in L.deduplicated(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).collect()}
+    assert meet(brute_print(" ".join(a)), brute_print(" ".join(b))) and got == {1: 0, 2: 1}
+
+
+def test_one_word_replaced(spark):
+    """How many of all alike pairs are found: by length, of pairs that differ in one word."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    pairs = []
+    for least, most in ((10, 20), (20, 40), (40, 60)):
+        for _ in range(40):
+            a = [word() for _ in range(rng.randrange(least, most))]
+            b = a.copy()
+            b[rng.randrange(len(b))] = word()
+            pairs.append((" ".join(a), " ".join(b)))
+    rows = [(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)]
+    got = {r.doc_id for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert all(alike(*p) for p in pairs)
+    assert got == {2 * i + 1 for i, (a, b) in enumerate(pairs) if meet(brute_print(a), brute_print(b))}
+    assert [sum(2 * i + 1 in got for i in range(40 * k, 40 * k + 40)) >= share * 40 for k, share in enumerate((0.35, 0.6, 0.75))] == [True] * 3

@@ -35,14 +35,16 @@ def _dot(a: Column, b: Column) -> Column:
 def nodes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(cid, vec, members) of the distinct vectors and (vec_id, cid) of all rows that take part.
 
-    Null and empty vectors, zero vectors, and those with a null or non-finite component take no part; nor do vectors whose length isn't the
-    most common one. members are the k + 1 smallest ids of a vector, all that k nearest neighbours can need; cid is the smallest.
+    Null and empty vectors, zero vectors, and those with a null or non-finite component take no part. Shorter vectors are compared as if
+    zeros followed up to the length of the longest. members are the k + 1 smallest ids of a vector, all that k nearest neighbours can need; cid is the smallest.
     """
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec")).where("vec_id is not null")
     good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     whole = whole.where(good)
-    widths = whole.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    whole = whole.where(F.size("vec") == (widths[0].d if widths else 0)).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
+    least, most = whole.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if least != most:
+        whole = whole.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("vec"))))
+    whole = whole.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     first = whole.withColumn("r", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = first.groupBy("h1", "h2").agg(F.min("vec_id").alias("cid"), F.min_by("vec", "vec_id").alias("vec"), F.array_sort(F.collect_set("vec_id")).alias("members"))
     classes = stored(classes, "ann-nodes")

@@ -20,6 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.batches import bounded
+from textloom.storage import stored
 
 #: Characters of a chunk and of the overlap with the one before; texts up to a chunk are encoded at once.
 CHUNK, OVERLAP, GUARD = 1 << 15, 1 << 11, 2
@@ -104,41 +105,42 @@ def _digest_row(bpe: ByteBpe, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids, decoded) per row, or (doc_id, n_tokens, ids_sha256, decoded_sha256) with ``digests``.
 
     ``decoded`` are the bytes that the ids decode to. A null text counts as empty and has no ids; repeated rows and null ids are kept row
-    by row; other columns are never read. Texts of up to ``chunk`` characters are encoded where they are read. Longer ones are cut into
-    overlapping chunk rows that any task may pre-tokenise, and only their boundaries in the overlaps meet again; the pieces between
-    agreed boundaries are encoded as rows of their own, and a text's ids are put together in order at the end.
+    by row; an empty table gives an empty one; other columns are never read. Texts of up to ``chunk`` characters are encoded where they are
+    read. Each distinct longer one is cut into overlapping chunk rows that any task may pre-tokenise, and only their boundaries in the
+    overlaps meet again; the pieces between agreed boundaries are encoded as rows of their own, a text's ids are put together in order
+    once, and the rows that share the text are joined to them.
     """
-    schema = DIGEST if digests else "doc_id long, ids array<int>, decoded binary"
+    schema = DIGEST if digests else "ids array<int>, decoded binary"
     base = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def rows(doc_ids: list, all_ids: list[list[int]]) -> pa.RecordBatch:
+    def rows(key: pa.Field, keys: list, all_ids: list[list[int]]) -> pa.RecordBatch:
         bpe = _loaded(rank_file, pattern)
         if digests:
             cols = zip(*(_digest_row(bpe, ids) for ids in all_ids), strict=True) if all_ids else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(all_ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in all_ids], pa.binary())], names=["doc_id", "ids", "decoded"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, key.type), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True))], names=[key.name, "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, key.type), pa.array(all_ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in all_ids], pa.binary())], names=[key.name, "ids", "decoded"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield rows(part.column(0).to_pylist(), [bpe.encode(t.as_py()) for t in part.column(1)])
+                yield rows(pa.field("doc_id", pa.int64()), part.column(0).to_pylist(), [bpe.encode(t.as_py()) for t in part.column(1)])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(rank_file, pattern)
         for batch in batches:
             found = [_span(bpe, t.as_py(), s, s + len(t.as_py()), chunk, overlap) for s, t in zip(batch.column("start").to_pylist(), batch.column("part"), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("n"), *(pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())), (3, pa.list_(pa.int64()))))],
-                names=["row", "doc_id", "n", "start", "end", "head", "tail"],
+                [batch.column("row"), batch.column("n"), *(pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.list_(pa.int64())), (3, pa.list_(pa.int64()))))],
+                names=["row", "n", "start", "end", "head", "tail"],
             )
 
     def pieces(spans_of_row: pa.Table) -> pa.Table:
@@ -149,22 +151,20 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     def piece_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(rank_file, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([bpe.encode(t.as_py()) for t in batch.column(3)], pa.list_(pa.int32()))], names=["row", "doc_id", "a", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bpe.encode(t.as_py()) for t in batch.column(2)], pa.list_(pa.int32()))], names=["row", "a", "ids"])
 
     def joined(of_row: pa.Table) -> pa.Table:
         t = of_row.sort_by("a")
-        return pa.Table.from_batches([rows([t.column("doc_id")[0].as_py()], [list(chain.from_iterable(t.column("ids").to_pylist()))])])
+        return pa.Table.from_batches([rows(pa.field("row", pa.string()), [t.column("row")[0].as_py()], [list(chain.from_iterable(t.column("ids").to_pylist()))])])
 
     n = F.length("text")
-    short = base.where(n <= chunk).mapInArrow(whole, schema)
-    # identical long rows share a key; ``copies`` gives each its row back
-    long_rows = base.where(n > chunk).withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)))
-    copies = long_rows.groupBy("row").agg(F.count("*").alias("copies"))
+    short = base.where(n <= chunk).mapInArrow(whole, f"doc_id long, {schema}")
+    long_rows = base.where(n > chunk).withColumn("row", F.sha2("text", 256))
+    texts = stored(long_rows.select("row", "text").dropDuplicates(["row"]), "long-texts")
     starts = F.explode(F.sequence(F.lit(0), n - 1, F.lit(chunk)).cast("array<long>"))
-    parts = long_rows.select("row", "doc_id", n.cast("long").alias("n"), starts.alias("start"), "text").select("row", "doc_id", "n", "start", F.expr(f"substring(text, cast(start + 1 as int), {chunk + overlap})").alias("part"))
-    found = parts.mapInArrow(spans, "row string, doc_id long, n long, start long, end long, head array<long>, tail array<long>").dropDuplicates(["row", "start"])
+    parts = texts.select("row", n.cast("long").alias("n"), starts.alias("start"), "text").select("row", "n", "start", F.expr(f"substring(text, cast(start + 1 as int), {chunk + overlap})").alias("part"))
+    found = parts.mapInArrow(spans, "row string, n long, start long, end long, head array<long>, tail array<long>")
     cut = found.groupBy("row").applyInArrow(pieces, "row string, a long, b long")
-    ids = long_rows.dropDuplicates(["row"]).join(cut, "row").select("row", "doc_id", "a", F.expr("substring(text, cast(a + 1 as int), cast(b - a as int))").alias("piece")).mapInArrow(piece_ids, "row string, doc_id long, a long, ids array<int>")
-    again = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    whole_long = ids.join(again, "row").groupBy("row", "copy").applyInArrow(joined, schema)
-    return short.unionByName(whole_long)
+    ids = texts.join(cut, "row").select("row", "a", F.expr("substring(text, cast(a + 1 as int), cast(b - a as int))").alias("piece")).mapInArrow(piece_ids, "row string, a long, ids array<int>")
+    whole_long = stored(ids.groupBy("row").applyInArrow(joined, f"row string, {schema}"), "long-ids")
+    return short.unionByName(long_rows.select("doc_id", "row").join(whole_long, "row").drop("row"))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.batches import bounded
+from textloom.storage import stored
 
 #: Hash buckets of the letter n-grams of one to three characters.
 BUCKETS = 1 << 13
@@ -22,9 +23,9 @@ CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected when its cosine is under this share of what all but 1 in 200 pieces of training texts of its length reach.
 REJECT = 0.75
-#: Lengths are classes, the binary logarithm of the n-grams counted. Up to class SHORT (a word or two) the least cosine is never over
-#: LENIENT: such texts are near no centroid, yet clean. A class that fewer than ENOUGH pieces fall in takes the bound of the one below.
-CLASSES, SHORT, LENIENT, ENOUGH = 40, 5, 0.045, 200
+#: Lengths are classes, the binary logarithm of the n-grams counted. A class that fewer than ENOUGH pieces fall in takes the bound of the
+#: one below, the shortest classes none.
+CLASSES, ENOUGH = 40, 200
 UNKNOWN = "und"
 #: Code points whose n-grams are counted at a time.
 BLOCK = 1 << 20
@@ -35,23 +36,32 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
-def ngram_counts(text: str) -> np.ndarray | None:
-    """Hashed counts over a whole text, all but letters read as a single gap; None if it has no letter."""
+def _buckets(grams: np.ndarray, k: int) -> np.ndarray:
+    mixed = (grams ^ np.uint32(0x51ED27 * (k + 1))) * np.uint32(0xC2B2AE35)
+    return (mixed ^ mixed >> np.uint32(15)) & np.uint32(BUCKETS - 1)
+
+
+def ngram_counts(text: str, block: int = BLOCK) -> np.ndarray | None:
+    """Hashed counts over a whole text, all but letters read as a single gap; None if it has no letter.
+
+    A long text is taken in blocks; each goes on from the last two symbols of the one before, so the counts are those of the whole.
+    """
     letter, counts, seen = _letters(), np.zeros(BUCKETS), False
-    for at in range(0, len(text), BLOCK):
-        part = text[max(0, at - 2) : at + BLOCK]
-        points = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    last = np.zeros(0, dtype=np.uint32)
+    for at in range(0, len(text), block):
+        # a capital sigma's lower case depends on what stands around it, so it is replaced first
+        points = np.frombuffer(text[at : at + block].replace("Σ", "σ").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         is_letter = letter[points]
         seen = seen or bool(is_letter.any())
-        x = np.where(is_letter, points, 32).astype(np.uint32)
+        x = np.concatenate([last, np.where(is_letter, points, 32).astype(np.uint32)])
         keep = np.ones(len(x), dtype=bool)
         keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-        x = x[keep]
+        old, x = len(last), x[keep]
         two = x[:-1] * np.uint32(0x9E3779B1) + x[1:]
         three = two[:-1] * np.uint32(0x85EBCA6B) + x[2:]
-        for k, grams in enumerate((x, two, three)):
-            mixed = (grams ^ np.uint32(0x51ED27 * (k + 1))) * np.uint32(0xC2B2AE35)
-            counts += np.bincount((mixed ^ mixed >> np.uint32(15)) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        for k, grams in enumerate((x[old:], two[max(0, old - 1) :], three[max(0, old - 2) :])):
+            counts += np.bincount(_buckets(grams, k), minlength=BUCKETS)
+        last = x[-2:]
     return counts if seen else None
 
 
@@ -109,14 +119,14 @@ def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centers, x @ centers.T
 
 
-def _bounds(classes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
-    """The least cosine of each class of length."""
+def _bounds(measured: dict[int, tuple[int, float]]) -> np.ndarray:
+    """The least cosine of each class of length from (pieces, the cosine that all but 1 in 200 reach) of the classes."""
     least, last = np.zeros(CLASSES), 0.0
     for k in range(CLASSES):
-        own = cosines[classes == k]
-        if len(own) >= ENOUGH:
-            last = REJECT * float(np.quantile(own, 0.005))
-        least[k] = min(last, LENIENT) if k <= SHORT else last
+        n, reached = measured.get(k, (0, 0.0))
+        if n >= ENOUGH:
+            last = REJECT * reached
+        least[k] = last
     return least
 
 
@@ -149,31 +159,38 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     rows.append(counts.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
-    rows = drawn.select("lang", "text").mapInArrow(counted, "lang string, counts binary").collect()
-    found = sorted((r.lang, bytes(r.counts)) for r in rows)
-    del rows
-    langs = sorted({lang for lang, _ in found})
-    own = np.array([langs.index(lang) for lang, _ in found], dtype=int)
-    counts = np.frombuffer(b"".join(c for _, c in found), dtype=np.float32).reshape(-1, BUCKETS)
-    del found
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x = _weighted(counts, idf)
-    centers, lang_of = [], []
-    for j in range(len(langs)):
-        c, _ = _cluster(x[own == j], CENTROIDS)
-        centers += list(c)
-        lang_of += [j] * len(c)
-    del x, counts
-    model = Model(langs, idf, np.array(centers).reshape(-1, BUCKETS), np.array(lang_of, dtype=int), np.zeros(CLASSES))
+    # the drawn texts' counts are a table, and each language is clustered in a task of its own: the driver holds a few vectors a language
+    rows = stored(drawn.select("lang", "text").mapInArrow(counted, "lang string, counts binary"), "lang-counts")
+
+    def matrix(of_lang: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(sorted(of_lang.column("counts").to_pylist())), dtype=np.float32).reshape(-1, BUCKETS)
+
+    def documents_with(of_lang: pa.Table) -> pa.Table:
+        counts = matrix(of_lang)
+        return pa.table({"lang": of_lang.column("lang")[:1], "n": pa.array([len(counts)], pa.int64()), "df": pa.array([(counts > 0).sum(axis=0).astype(np.int64).tobytes()], pa.binary())})
+
+    seen = sorted((r.lang, r.n, bytes(r.df)) for r in rows.groupBy("lang").applyInArrow(documents_with, "lang string, n long, df binary").collect())
+    langs = [lang for lang, _, _ in seen]
+    df = sum((np.frombuffer(x, dtype=np.int64) for _, _, x in seen), np.zeros(BUCKETS, dtype=np.int64))
+    idf = (np.log((1 + sum(n for _, n, _ in seen)) / (1 + df)) + 0.1).astype(np.float32)
+
+    def clustered(of_lang: pa.Table) -> pa.Table:
+        centers, _ = _cluster(_weighted(matrix(of_lang), idf), CENTROIDS)
+        return pa.table({"lang": pa.array([of_lang.column("lang")[0].as_py()] * len(centers), pa.string()), "centre": pa.array([c.astype(np.float32).tobytes() for c in centers], pa.binary())})
+
+    found = sorted((r.lang, bytes(r.centre)) for r in rows.groupBy("lang").applyInArrow(clustered, "lang string, centre binary").collect())
+    centers = np.frombuffer(b"".join(c for _, c in found), dtype=np.float32).reshape(-1, BUCKETS)
+    model = Model(langs, idf, centers, np.array([langs.index(lang) for lang, _ in found], dtype=int), np.zeros(CLASSES))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x for t in batch.column(0) for x in shared.value.pieces(t.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([c for _, c in found], pa.float32())], names=["size", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([c for _, c in found], pa.float64())], names=["size", "cosine"])
 
-    seen = drawn.select("text").mapInArrow(measured, "size int, cosine float").collect() if langs else []
-    model.least = _bounds(np.array([r.size for r in seen]), np.array([r.cosine for r in seen]))
+    if langs:
+        by = drawn.select("text").mapInArrow(measured, "size int, cosine double").groupBy("size").agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(0.005)).alias("reached"))
+        model.least = _bounds({r.size: (r.n, r.reached) for r in by.collect()})
     return model
 
 

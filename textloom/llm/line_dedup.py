@@ -1,41 +1,42 @@
 """Fuzzy line de-duplication with SimHash, pigeonhole blocks and edit distance. Built-in functions only.
 
-Lines are lower-cased and read as words; lines of fewer than MIN_WORDS words are left alone unless ``whole`` is set. A line's 64-bit SimHash is taken over the
-SAMPLE smallest of its distinct word hashes, a sample that like lines share, so that a small edit mostly leaves it as it is. It is cut into
-four blocks. Two fingerprints that differ in at most two bits agree in two blocks, so lines meet under the six pairs of blocks, 32 bits
-each, and are verified by edit similarity. Within a bucket each line is first compared with one head for each class of length, its own and
-the next; only lines that this leaves in different groups are then compared with each other, so a bucket of copies costs a few comparisons
-per line and not one per pair.
-
-With ``whole`` set the fingerprint is taken over all distinct words (over character grams where a line has fewer than MIN_WORDS, as whole
-lines of Chinese, Japanese or Thai do), every line that isn't blank takes part, lines meet under each single block, and edit similarity alone decides.
-That meets far more alike lines (those within three differing bits for certain), and by chance more unlike ones too: 16 bits are few, so
-comparisons grow faster than the table.
+Lines are lower-cased and read as words. The 64-bit SimHash of a line is taken over all its distinct words (over its character grams where
+it has fewer than MIN_WORDS, as whole lines of Chinese, Japanese or Thai do) and cut into four blocks of 16 bits. Lines meet under every
+block that they share: two fingerprints within three differing bits share one for certain. Met pairs that differ in at most MAX_BITS bits
+are verified by edit similarity, at any length, and one occurrence of each connected group stays.
+
+Bits are counted by exploding words into rows and adding them up in lanes of 16 bits, four bits to a long, so the work is one code-generated
+aggregation. Where a bucket holds a crowded class of length (a family of near copies, or a large table), its lines are first compared with
+one head for each class of length, their own and the next; only lines that this leaves in different groups are then compared with each
+other. That finds the same groups, and a bucket of copies costs a few comparisons per line and not one per pair. Unlike lines still meet by
+chance, as 16 bits are few: such meetings, a comparison of two longs each, grow with the square of the distinct lines over 16,384 buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.components import connected_components
-from textloom.llm.native import hint, let, numbers
+from textloom.llm.native import free_name, hint, let, numbers
 from textloom.storage import stored
 
 MIN_WORDS = 5
 #: Characters of a gram of a line of few words.
 GRAM = 3
 SIMILARITY = 0.8
-SAMPLE = 16
-#: Most differing bits of a pair that is verified; up to two are met with certainty, more if the differing bits leave two blocks alike.
-MAX_BITS = 8
+#: Most differing bits of a pair that is verified. A pair that met by chance has some 24 of the 48 bits outside the shared block different.
+MAX_BITS = 12
+#: Lines of one bucket and one class of length from which the bucket is compared by heads first; the groups found are the same.
+CROWD = 32
 #: What stands between words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words counted at a time in lanes of 8 bits.
+#: Most features counted in lanes of 16 bits; the rare line with more is counted by runs of RUN in lanes of 8 bits, with the same result.
+LANES = 16_383
 RUN = 127
+#: Lines up to this length are compared whole, longer ones without their common ends, and those over ten times as long by anchors first.
+PLAIN = 400
 _EIGHT, _FOUR, _TWO = 0x0101010101010101, 0x0001000100010001, 0x0000000100000001
+_PLACE = ["doc_id", "d1", "d2", "line"]
 
 
 def words(line: Column) -> Column:
@@ -46,18 +47,6 @@ def normalised(line: Column) -> Column:
     return F.array_join(words(line), " ")
 
 
-def sampled(hashes: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SAMPLE)
-
-
-def _counts(hashes: Column, then: Callable[[list[Column]], Column]) -> Column:
-    """``then`` of eight longs that count all 64 bits of at most RUN hashes, long k having those of the bits k, 8 + k, ... in its bytes."""
-    names = [f"c{k}" for k in range(8)]
-    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
-    plus = lambda a, h: F.struct(*((a[n] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_EIGHT))).alias(n) for k, n in enumerate(names)))
-    return F.aggregate(hashes, zero, plus, lambda a: then([a[n] for n in names]))
-
-
 def _joined(bits: list[Column]) -> Column:
     """Lanes of single bits put beside each other, those of number k moved k bits to the left."""
     value = F.lit(0).cast("long")
@@ -66,35 +55,23 @@ def _joined(bits: list[Column]) -> Column:
     return value
 
 
-def simhash(sample: Column) -> Column:
-    """SimHash of at most 63 hashes: a bit is set where it is set in over half of them.
-
-    Adding what a counter lacks to 64 moves the answer into bit 6 of its byte.
-    """
-    lack = (F.lit(63).cast("long") - F.floor(F.size(sample) / 2)) * F.lit(_EIGHT)
-    return _counts(sample, lambda c: _joined([F.shiftrightunsigned(x + lack, 6).bitwiseAND(F.lit(_EIGHT)) for x in c]))
-
-
-def simhash_all(hashes: Column) -> Column:
-    """SimHash of any number of hashes.
-
-    Up to RUN hashes one count in lanes of 16 bits does; longer arrays add up the counters of their runs, so that every word counts.
-    """
+def simhash_of_runs(hashes: Column) -> Column:
+    """SimHash of any number of hashes: a bit is set where it is set in over half of them. The counters of runs are added up."""
     half = F.floor(F.size(hashes) / 2)
-    lack = (F.lit(RUN).cast("long") - half) * F.lit(_FOUR)
-    spread = lambda c: [F.shiftrightunsigned(x, 8 * o).bitwiseAND(F.lit(255 * _FOUR)) for o in range(2) for x in c]
-    short = _counts(hashes, lambda c: _joined([F.shiftrightunsigned(x + lack, 7).bitwiseAND(F.lit(_FOUR)) for x in spread(c)]))
-    runs = F.transform(numbers(F.lit(0), F.floor((F.size(hashes) - 1) / RUN).cast("int")), lambda i: _counts(F.slice(hashes, i * RUN + 1, RUN), lambda c: F.array(*c)))
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{k}") for k in range(8)))
+    plus = lambda a, h: F.struct(*((a[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_EIGHT))).alias(f"c{k}") for k in range(8)))
+    counted = lambda hs: F.aggregate(hs, zero, plus, lambda a: F.array(*(a[f"c{k}"] for k in range(8))))
+    runs = F.transform(numbers(F.lit(0), F.floor((F.size(hashes) - 1) / RUN).cast("int")), lambda i: counted(F.slice(hashes, i * RUN + 1, RUN)))
     widen = lambda r: F.array(*(F.shiftrightunsigned(r[k], 8 * o).bitwiseAND(F.lit(255 * _TWO)) for o in range(4) for k in range(8)))
     totals = F.aggregate(runs, F.array_repeat(F.lit(0).cast("long"), 32), lambda a, r: F.zip_with(a, widen(r), lambda x, y: x + y))
-    wide_lack = (F.lit((1 << 30) - 1).cast("long") - half) * F.lit(_TWO)
-    long = let(totals, lambda t: _joined([F.shiftrightunsigned(t[at] + wide_lack, 30).bitwiseAND(F.lit(_TWO)) for at in range(32)]))
-    return F.when(F.size(hashes) <= RUN, short).otherwise(long)
+    # what a counter lacks is added to 2^30, which moves the answer into bit 30 of its lane
+    lack = (F.lit((1 << 30) - 1).cast("long") - half) * F.lit(_TWO)
+    return let(totals, lambda t: _joined([F.shiftrightunsigned(t[at] + lack, 30).bitwiseAND(F.lit(_TWO)) for at in range(32)]))
 
 
 def _grams(text: Column) -> Column:
-    """Hashes of the character grams of a text, of the whole if it is shorter than one."""
-    return F.transform(numbers(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.xxhash64(F.substr(text, i, F.lit(GRAM))))
+    """The overlapping character grams of a text, the whole if it is shorter than one."""
+    return F.when(F.length(text) < GRAM, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * GRAM + "))"), F.lit(1)))
 
 
 def _doc_key(doc_id: Column, text: Column) -> list[Column]:
@@ -105,28 +82,36 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_table(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(doc_id, d1, d2, line, n_words, k1, k2, fp, size) of every line; ``docs`` has doc_id and text.
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, d1, d2, line, k1, k2, fp, size) of every line with a word; ``docs`` has doc_id and text.
 
-    size is the class of the line's length: alike lines differ by one class at most. Short lines are left out when the written table is
-    read, as a filter here would be pushed below the words and split every line twice.
+    size is the class of the line's length: alike lines differ by one class at most.
     """
-    place = ["doc_id", "d1", "d2", "line"]
-    exploded = docs.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
-    told = exploded.select(*place, words(F.col("raw")).alias("w"))
-    size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
-    hashed = told.select(*place, F.size("w").alias("n_words"), size.alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"), *([F.array_join("w", " ").alias("said")] if whole else []))
-    if whole:
-        hashed = hashed.withColumn("g", F.when(F.col("n_words") < MIN_WORDS, let(F.col("said"), _grams)).otherwise(F.col("h"))).drop("said")
-    drawn = hashed.select(*place, "n_words", "size", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), (F.array_distinct("g") if whole else sampled(F.col("h"))).alias("sample"))
-    return drawn.select(*place, "n_words", "k1", "k2", (simhash_all if whole else simhash)(F.col("sample")).alias("fp"), "size")
-
-
-def _block_keys(fp: Column, whole: bool = False) -> Column:
+
+    def told(source: DataFrame) -> DataFrame:
+        exploded = source.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
+        said = exploded.select(*_PLACE, words(F.col("raw")).alias("w")).withColumn("n", F.size("w"))
+        size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
+        features = F.array_distinct(F.when(F.col("n") < MIN_WORDS, _grams(F.array_join("w", " "))).otherwise(F.col("w")))
+        return said.select(*_PLACE, F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), size.alias("size"), F.when(F.col("n") > 0, features).alias("w"))
+
+    said = told(docs)
+    each = said.select(*_PLACE, "k1", "k2", "size", F.explode(F.when(F.size("w") <= LANES, F.col("w"))).alias("x")).withColumn("h", F.xxhash64("x"))
+    lane = lambda k: F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_FOUR))).alias(f"c{k}")
+    keep = [F.max(c).alias(c) for c in ("k1", "k2", "size")]
+    counts = each.groupBy(*_PLACE).agg(*keep, F.count("*").alias("n"), *(lane(k) for k in range(16)))
+    # what a count lacks of half is added to LANES, which moves the answer into bit 14 of its lane
+    lack = (F.lit(LANES).cast("long") - F.floor(F.col("n") / 2)) * F.lit(_FOUR)
+    fp = _joined([F.shiftrightunsigned(F.col(f"c{k}") + lack, 14).bitwiseAND(F.lit(_FOUR)) for k in range(16)])
+    short = counts.select(*_PLACE, "k1", "k2", fp.alias("fp"), "size")
+    vast = told(docs.where(F.length("text") > LANES)).where(F.size("w") > LANES)
+    return short.unionByName(vast.select(*_PLACE, "k1", "k2", simhash_of_runs(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "size"))
+
+
+def _block_keys(fp: Column, size: Column) -> Column:
+    """For each block a long of its number, its bits and the class of length."""
     block = lambda i: F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    if whole:
-        return F.array(*(F.lit(c << 32).cast("long") + block(c) for c in range(4)))
-    return F.array(*(F.lit(c << 32).cast("long") + F.shiftleft(block(i), 16) + block(j) for c, (i, j) in enumerate(combinations(range(4), 2))))
+    return F.array(*(F.shiftleft(F.lit(c << 16).cast("long") + block(c), 8) + size for c in range(4)))
 
 
 def _middles(a: Column, b: Column, then) -> Column:
@@ -142,82 +127,154 @@ def _middles(a: Column, b: Column, then) -> Column:
     return let(let(heads, lambda h: tails(h["a"], h["b"])), lambda m: then(m["a"], m["b"]))
 
 
+def _anchored(x: Column, y: Column) -> Column:
+    """A number that the edit distance of two word arrays, a space after each word, isn't over.
+
+    Words that stand once in each are anchors; the distances of what lies between them are added up. Between words far apart, where that
+    would be a long comparison of its own, the longer length is taken.
+    """
+    tagged = lambda a, side: F.sort_array(F.transform(a, lambda w, i: F.struct(w.alias("w"), F.lit(side).alias("s"), i.alias("i"))))
+    differs = lambda t, k, e: ~F.get(t, k)["w"].eqNullSafe(e["w"])
+    once = lambda a, side: let(tagged(a, side), lambda t: F.filter(t, lambda e, k: differs(t, k - 1, e) & differs(t, k + 1, e)))
+    met = lambda b: F.transform(b, lambda e, k: F.when((e["s"] == 0) & ~differs(b, k + 1, e), F.struct(e["i"].alias("a"), F.get(b, k + 1)["i"].alias("b"))))
+    anchors = F.sort_array(F.filter(let(F.sort_array(F.concat(once(x, 0), once(y, 1))), met), lambda p: p.isNotNull()))
+    said = lambda w, at, n: F.when(n > 0, F.concat(F.array_join(F.slice(w, at, n), " "), F.lit(" "))).otherwise(F.lit(""))
+
+    def step(s: Column, p: Column) -> Column:
+        da, db = p["a"] - s["a"], p["b"] - s["b"]
+        apart = let(said(x, s["a"] + 2, da - 1), lambda m: let(said(y, s["b"] + 2, db - 1), lambda n: F.when(F.greatest(F.length(m), F.length(n)) <= 10 * PLAIN, F.levenshtein(m, n)).otherwise(F.greatest(F.length(m), F.length(n)))))
+        taken = (db > 0) & ((F.abs(da - db) <= 64) | (p["a"] == F.size(x)))
+        return F.when(taken, F.struct(p["a"].alias("a"), p["b"].alias("b"), (s["n"] + F.when((da == 1) & (db == 1), 0).otherwise(apart)).alias("n"))).otherwise(s)
+
+    start = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("n"))
+    return F.aggregate(F.array_append(anchors, F.struct(F.size(x).alias("a"), F.size(y).alias("b"))), start, step, lambda s: s["n"])
+
+
+def _within(a: Column, b: Column, most: Column) -> Column:
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+
+
 def _alike(a: Column, b: Column) -> Column:
+    """Whether two normalised lines have an edit similarity of SIMILARITY or more.
+
+    The comparison takes the square of the length, so lines over PLAIN lose their common ends first, and long ones are accepted without it
+    where their anchors prove them alike, as they do for copies with scattered edits.
+    """
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    return let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | (F.call_function("levenshtein", m, n, most) >= 0))))
+    proven = lambda m, n: (longest > 10 * PLAIN) & (let(F.filter(F.split(m, " "), lambda w: w != ""), lambda x: let(F.filter(F.split(n, " "), lambda w: w != ""), lambda y: _anchored(x, y))) <= most)
+    tested = lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | proven(m, n) | _within(m, n, most)
+    long = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, tested)))
+    return F.when(longest <= PLAIN, _within(a, b, most)).otherwise(long)
 
 
 def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs whose lines are alike; texts are fetched from the first document of each line."""
-    needed = stored(pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct().join(kinds.select("k1", "first"), "k1").dropDuplicates(["k1"]), "line-needs")
-    places = needed.groupBy(F.col("first.d1").alias("d1"), F.col("first.d2").alias("d2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "k1")).alias("places"))
+    """(u, v) of the pairs whose lines are alike; texts are fetched from one document of each line."""
+    needed = stored(pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct().join(kinds.select("k1", "d1", "d2", "line"), "k1").dropDuplicates(["k1"]), "line-needs")
+    places = needed.groupBy("d1", "d2").agg(F.collect_list(F.struct("line", "k1")).alias("places"))
     keyed = docs.select(*_doc_key(F.col("doc_id"), F.col("text")), "text")
     found = keyed.join(hint(stored(places, "line-places")), ["d1", "d2"])
     picked = let(_lines(F.col("text")), lambda ls: F.transform("places", lambda p: F.struct(p["k1"].alias("k1"), normalised(ls[p["line"]]).alias("s"))))
     texts = stored(found.select(F.explode(picked).alias("x")).select("x.k1", "x.s").dropDuplicates(["k1"]), "line-texts")
     both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("k1").alias("v"), F.col("s").alias("sv")), "v")
-    return stored(both.where(_alike(F.col("su"), F.col("sv"))).select("u", "v"), "line-links")
+    # dealt anew, as the costly comparisons else follow the joins' keys
+    return stored(both.repartition("u", "v").where(_alike(F.col("su"), F.col("sv"))).select("u", "v"), "line-links")
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two rows of one bucket are worth verifying."""
+    return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= 1) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MAX_BITS)
+
+
+def _first_shared(a: str, b: str) -> Column:
+    """Whether the bucket's block is the first that two rows share, so that a pair comes once."""
+    x = F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))
+    block = F.shiftright(F.col(f"{a}.key"), 16)
+    found = F.lit(True)
+    for c in range(3):
+        found = found & ((block <= c) | (F.shiftrightunsigned(x, 16 * c).bitwiseAND(F.lit(0xFFFF)) != 0))
+    return found
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, whole: bool = False) -> DataFrame:
-    """(k1, k2, n, first, root): every distinct line, its rows, its first place and its connected group (null if it is alone)."""
-    place = F.struct("doc_id", "d1", "d2", "line")
-    kinds = stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
-    # a row for each key is the largest shuffle here: the class of length rides in the key's low bits, and fingerprints join later
-    packed = kinds.select("k1", F.explode(F.transform(_block_keys(F.col("fp"), whole), lambda x: F.shiftleft(x, 8) + F.col("size"))).alias("packed"))
+def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(k1, k2, n, root): every distinct line, its rows and its connected group (null if it is alone)."""
+    place = F.xxhash64("d1", "d2", "line")
+    marked = lines.withColumn("p", place)
+    one = [F.min_by(c, "p").alias(c) for c in ("d1", "d2", "line")]
+    kinds = stored(marked.groupBy("k1", "k2").agg(F.count("*").alias("n"), *one, F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
+    packed = kinds.select(F.explode(_block_keys(F.col("fp"), F.col("size"))).alias("packed"), "k1", "fp")
     key = F.shiftright("packed", 8)
-    dealt = packed.repartition(key).select(key.alias("key"), F.col("packed").bitwiseAND(F.lit(255)).cast("int").alias("size"), "k1")
-    cells = dealt.groupBy("key", "size").agg(F.count("*").alias("n"), F.min("k1").alias("head"))
-    heads = cells.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("size", "head")).alias("heads")).where("n > 1")
-    met = stored(dealt.join(heads.drop("n"), "key").join(kinds.select("k1", "fp"), "k1"), "line-buckets")
-    near = lambda a, b: F.lit(whole) | (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
-    own = F.filter("heads", lambda h: h["size"] == F.col("size"))[0]["head"]
-    tried = F.filter("heads", lambda h: (F.abs(h["size"] - F.col("size")) <= 1) & (h["head"] != F.col("k1")))
-    star = met.select("k1", F.explode(F.transform(tried, lambda h: h["head"])).alias("head"))
-    first_links = _verified(stored(star.select(F.least("k1", "head").alias("u"), F.greatest("k1", "head").alias("v")).distinct(), "line-pairs"), kinds, docs)
-
-    roots = connected_components(first_links)
-    classed = met.select("key", "k1", "fp", "size", (own == F.col("k1")).alias("is_head")).join(roots, F.col("k1") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k1")).drop("node", "root")
+    crowded = packed.groupBy("packed").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(key.alias("key")).distinct()
+    crowded = hint(stored(crowded, "line-crowds"))
+    dealt = packed.select(key.alias("key"), F.col("packed").bitwiseAND(F.lit(255)).cast("int").alias("size"), "k1", "fp")
+    plain = dealt.join(crowded, "key", "left_anti").repartition("key")
+    a, b = plain.alias("a"), plain.alias("b")
+    once = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k1") < F.col("b.k1")) & _near("a", "b") & _first_shared("a", "b"))
+
+    met = stored(dealt.join(crowded, "key", "left_semi"), "line-buckets")
+    cells = met.groupBy("key", "size").agg(F.min("k1").alias("head"), F.min_by("fp", "k1").alias("head_fp"))
+    heads = cells.groupBy("key").agg(F.collect_list(F.struct(F.col("size"), F.col("head").alias("k1"), F.col("head_fp").alias("fp"))).alias("heads"))
+    heads = stored(heads, "line-heads")
+    tried = met.alias("a").join(hint(heads), "key").select("a.*", F.explode("heads").alias("b")).where((F.col("k1") != F.col("b.k1")) & (F.abs(F.col("size") - F.col("b.size")) <= 1) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS))
+    star = tried.select(*_pair("k1", "b.k1")).distinct()
+    first_links = _verified(stored(once.select(F.col("a.k1").alias("u"), F.col("b.k1").alias("v")).unionByName(star), "line-pairs"), kinds, docs)
+
+    roots = stored(connected_components(first_links), "line-roots")
+    classed = met.join(hint(roots), F.col("k1") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k1")).drop("node", "root")
     sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    mixed = stored(classed.where(~F.col("is_head")).join(mains, "key"), "line-mixed")
+    mixed = stored(classed.join(hint(stored(mains, "line-mains")), "key"), "line-mixed")
     a, b = mixed.where(F.col("class") != F.col("main")).alias("a"), mixed.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1) & near(F.col("a.fp"), F.col("b.fp"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & _near("a", "b") & _first_shared("a", "b")
     crossing = a.join(b, apart & ((F.col("a.k1") < F.col("b.k1")) | (F.col("b.class") == F.col("b.main"))))
-    more = stored(crossing.select(F.least("a.k1", "b.k1").alias("u"), F.greatest("a.k1", "b.k1").alias("v")).distinct(), "line-pairs")
-    links = first_links.unionByName(_verified(more, kinds, docs)) if more.take(1) else first_links
-    final = connected_components(links) if more.take(1) else roots
-    return kinds.join(final, kinds.k1 == final.node, "left").select("k1", "k2", "n", "first", "root")
+    more = stored(crossing.select(*_pair("a.k1", "b.k1")).distinct(), "line-pairs")
+    more = stored(more.join(first_links, ["u", "v"], "left_anti"), "line-pairs")
+    if more.take(1):
+        roots = stored(connected_components(first_links.unionByName(_verified(more, kinds, docs))), "line-roots")
+    return kinds.join(hint(roots), kinds.k1 == roots.node, "left").select("k1", "k2", "n", "root")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and n_lines and n_removed.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and the counts n_lines and n_removed.
 
     Of each connected group of like lines the occurrence with the smallest (doc_id, line number) stays, wherever it is. Blank lines (without
-    a word) always stay, and so do lines of fewer than MIN_WORDS words unless ``whole`` is set. A null text stays null with no lines; an empty one has one line. Rows that repeat both
-    id and text count as one document and get the same result each. Ids that are null come first in order. Other columns pass through;
-    columns already named n_lines or n_removed are replaced. ``whole`` compares all lines that agree in one block, not two.
+    a word) always stay. A null text stays null with no lines; an empty one has one line. Of rows that repeat both id and text one counts
+    as the first, whichever, and the others lose all lines with a word. Ids that are null come first in order. Lines are compared whole,
+    however long; only where anchors don't prove long lines alike does a comparison take the square of their length. An empty table gives an empty table. Other columns
+    pass through; columns that are already named as the two counts are replaced, so give the counts other names to keep them.
     """
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    lines = stored(line_table(base, whole), "lines").where(F.col("n_words") >= (1 if whole else MIN_WORDS)).drop("n_words")
-    groups = line_groups(base, lines, whole)
-    alone = F.col("root").isNull()
-    keyed = groups.where(~alone | (F.col("n") > 1)).withColumns({"g1": F.coalesce("root", "k1"), "g2": F.when(alone, F.col("k2"))})
-    keyed = stored(keyed, "line-groups")
-    keepers = keyed.where(~alone).groupBy("g1").agg(F.min("first").alias("keep"))
-    # a line in no fuzzy group is kept at its own first place
-    kept = keyed.join(keepers, "g1", "left").select("k1", "k2", F.when(F.col("g2").isNull(), F.col("keep")).otherwise(F.col("first")).alias("keep"))
-    kept = stored(kept, "line-keepers")
-    gone = lines.join(hint(kept), ["k1", "k2"]).where(~(F.struct("doc_id", "d1", "d2", "line").eqNullSafe(F.col("keep"))))
-    gone = stored(gone.groupBy("d1", "d2").agg(F.collect_set("line").alias("__gone")), "line-gone")
-    keys = dict(zip(("__d1", "__d2"), _doc_key(F.col(id_col).cast("long"), text), strict=True))
-    marked = docs.drop("n_lines", "n_removed").withColumns(keys)
-    joined = marked.join(hint(gone.withColumnsRenamed({"d1": "__d1", "d2": "__d2"})), ["__d1", "__d2"], "left")
-    stays = lambda ls: F.array_join(F.transform(F.array_except(numbers(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: ls[i]), "\n")
-    new_text = F.when(F.col("__gone").isNull(), text).otherwise(let(_lines(text), stays))
-    n_lines = F.coalesce(F.size(_lines(text)).cast("long"), F.lit(0).cast("long"))
-    columns = [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    n_lines = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("__gone").cast("long"), F.lit(0).cast("long")).alias("n_removed"))
+    text = F.col(f"`{text_col}`").cast("string")
+    own = F.col(f"`{id_col}`").cast("long")
+    base = docs.select(own.alias("doc_id"), text.alias("text"))
+    lines = stored(line_table(base), "lines")
+    groups = line_groups(base, lines)
+    # a distinct line in no fuzzy group is a group of its own
+    grouped = groups.where(F.col("root").isNotNull() | (F.col("n") > 1)).select("k1", "k2", F.coalesce("root", "k1").alias("g1"), F.when(F.col("root").isNull(), F.col("k2")).alias("g2"))
+    members = stored(lines.join(hint(stored(grouped, "line-groups")), ["k1", "k2"]).select(*_PLACE, "g1", F.coalesce("g2", F.lit(0)).alias("g2")), "line-members")
+    keepers = stored(members.groupBy("g1", "g2").agg(F.min(F.struct(*_PLACE)).alias("keep")), "line-keepers")
+    gone = members.join(hint(keepers), ["g1", "g2"]).where(~F.struct(*_PLACE).eqNullSafe(F.col("keep")))
+    gone = stored(gone.groupBy("d1", "d2").agg(F.collect_set("line").alias("gone")), "line-gone")
+
+    d1, d2, cut, row, again = (free_name(docs, x) for x in ("d1", "d2", "gone", "row", "again"))
+    keyed = docs.withColumns(dict(zip((d1, d2), _doc_key(own, text), strict=True)))
+    repeated = stored(keyed.where(text.isNotNull()).groupBy(d1, d2).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "line-repeats")
+    if repeated.take(1):
+        # the rows that repeat are written with a number, so the choice of the first can't change
+        twice = stored(keyed.join(hint(repeated), [d1, d2]).withColumn(row, F.monotonically_increasing_id()), "line-repeated")
+        firsts = stored(twice.groupBy(d1, d2).agg(F.min(row).alias(row)), "line-firsts").withColumn(again, F.lit(False))
+        others = twice.join(hint(firsts), [d1, d2, row], "left").withColumn(again, F.coalesce(again, F.lit(True))).drop(row)
+        keyed = keyed.join(hint(repeated), [d1, d2], "left_anti").withColumn(again, F.lit(False)).unionByName(others)
+    else:
+        keyed = keyed.withColumn(again, F.lit(False))
+    joined = keyed.join(hint(gone.withColumnsRenamed({"d1": d1, "d2": d2, "gone": cut})), [d1, d2], "left")
+    worded = let(_lines(text), lambda ls: F.filter(numbers(F.lit(0), F.size(ls) - 1), lambda i: F.size(words(ls[i])) > 0))
+    less = F.when(F.col(again), worded).otherwise(F.col(cut))
+    stays = lambda ls: F.array_join(F.transform(F.array_except(numbers(F.lit(0), F.size(ls) - 1), less), lambda i: ls[i]), "\n")
+    new_text = F.when(text.isNull() | less.isNull(), text).otherwise(let(_lines(text), stays))
+    counted = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text))).cast("long")
+    columns = [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_removed)]
+    return joined.select(*columns, counted.alias(n_lines), F.when(less.isNull(), F.lit(0)).otherwise(F.size(less)).cast("long").alias(n_removed))

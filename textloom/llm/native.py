@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.sizes import hint, small  # noqa: F401  for the operators here
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a counted side is broadcast; rows here are a few dozen bytes, so that is some 20 MB.
-BROADCAST_ROWS = 300_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,14 +25,13 @@ def numbers(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has few enough rows to be broadcast."""
-    return df.count() <= rows
-
-
-def hint(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if small(df) else df
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have; Spark compares names without case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def text_key(text: Column) -> list[Column]:

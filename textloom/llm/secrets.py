@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from random import Random
 
@@ -106,12 +107,16 @@ class Novelty:
 
     def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Incompressible tokens in a sensitive context that no base span covers in part."""
-        found = []
+        found, starts, reach = [], [], []
+        for a, b in sorted((a, b) for _, a, b in taken):
+            starts.append(a)
+            reach.append(max(b, reach[-1]) if reach else b)  # the furthest end of a span that starts here or before
         for m in _CANDIDATE.finditer(text):
             start, end = m.span()
             if not any(c.isalnum() for c in m[0]) or not _SENSITIVE.search(text, max(0, start - BEFORE), start):
                 continue
-            if any(a < end and start < b for _, a, b in taken):
+            before = bisect_left(starts, end)
+            if before and reach[before - 1] > start:
                 continue
             if not wordlike(m[0]) and self.novelty(text, start, end) >= NOVELTY:
                 found.append(("novel", start, end))
@@ -143,7 +148,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts and digests of a scan's spans."""
+    """The counts and digests of a scan's spans, a row for each row; without spans the counts are zero and the digest that of no text."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

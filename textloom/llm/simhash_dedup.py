@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from textloom.llm.batches import bounded
 from textloom.llm.components import connected_components
+from textloom.llm.native import free_name, hint
 from textloom.storage import stored
 
 SEED = 42
@@ -27,8 +28,8 @@ MAX_BITS = 3
 HALF_RADIUS = MAX_BITS // 2
 #: Most fingerprints that the driver gathers to shape the trees; exactness doesn't depend on them.
 SAMPLE = 1 << 18
-#: Fingerprints aimed at in a leaf, and the most that one task searches at once.
-LEAF, SHARD = 1500, 12_000
+#: Fingerprints aimed at in a leaf, and the most that one task searches at once (2 MB); a larger shard is searched through trees of its own.
+LEAF, SHARD = 1500, 1 << 18
 #: Bytes of text whose words are held at a time.
 BLOCK = 1 << 22
 
@@ -173,6 +174,27 @@ def spanning_links(fps: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int
     return links
 
 
+def shard_links(fps: np.ndarray, half: int, leaf: int = LEAF) -> list[tuple[int, int]]:
+    """Links of one shard, as ``spanning_links`` of all its values; ``half`` is the half of the fingerprint that dealt it.
+
+    A large shard is cut by a tree over that half, and what the tree can't cut, as its values agree there, by one over the other half, in
+    which two fingerprints differ by all their bits at most.
+    """
+    links, todo = [], [(np.unique(fps), half, HALF_RADIUS)]
+    while todo:
+        values, side, radius = todo.pop()
+        if len(values) <= 2 * leaf or side is None:
+            links += spanning_links(values)
+            continue
+        own = _halves(values)[side]
+        tree = HammingTree(own, leaf, radius)
+        rows, leaves = tree.route(own)
+        order = np.argsort(leaves, kind="stable")
+        for part in np.split(rows[order], np.flatnonzero(np.diff(leaves[order])) + 1):
+            todo.append((values[part], 1 - half if side == half else None, MAX_BITS))
+    return links
+
+
 def near_links(distinct: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, shard: int = SHARD) -> DataFrame:
     """(u, v): a spanning forest of the links between the fingerprints in column fp of ``distinct``, whose rows must be distinct.
 
@@ -207,23 +229,52 @@ def near_links(distinct: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, shar
         pairs = dealt.select("leaf", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def searched(shard_table: pa.Table) -> pa.Table:
-        links = spanning_links(shard_table.column("fp").to_numpy())
+        links = shard_links(shard_table.column("fp").to_numpy(), int(shard_table.column("leaf")[0].as_py() >= offsets[1]))
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
     return pairs.groupBy("leaf", "i", "j").applyInArrow(searched, "u long, v long")
 
 
+def _classes(distinct: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint; root is the smallest fingerprint that its links reach."""
+    roots = connected_components(near_links(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(distinct.fp, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of at most 3 differing bits reach.
 
     A null text counts as empty; texts without words have fingerprint zero and link like any other; repeated rows are kept and link with
     each other. Rows whose id is null come back with the component of their fingerprint, null if no id is known there. Other columns of
-    ``docs`` are never read. Copies meet by aggregation before any search, so a fingerprint that a third of the rows share costs one row.
+    ``docs`` are never read; an empty table gives an empty one. Copies meet by aggregation before any search, so a fingerprint that a third
+    of the rows share costs one row.
     """
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = connected_components(near_links(distinct))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    grouped = stored(_classes(distinct).join(distinct, "fp"), "fingerprint-roots")
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = grouped.join(lows, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = stored(grouped.join(lows, "root").select("fp", "component_id"), "fingerprint-classes")
+    return marked.join(hint(classes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, for each group of near duplicates: that of the smallest id, then text hash.
+
+    Rows are told apart by themselves and not by their ids, so ids may be null (these come last) or repeat with one text or several. The
+    rows get numbers in a written table, so which one stays can't change when a lost executor's work is done again.
+    """
+    fp, row = free_name(docs, "fp"), free_name(docs, "row")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).cast(pa.binary())
+            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, fp])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    rows = stored(bounded(docs).mapInArrow(marked, schema).withColumn(row, F.monotonically_increasing_id()), "marked-documents")
+    place = F.struct(F.col(id_col).isNull().alias("n"), F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(row).alias("r"))
+    best = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("place")), "first-of-fingerprint")
+    first = best.join(_classes(best.select("fp")), "fp").groupBy("root").agg(F.min("place").alias("place"))
+    kept = stored(first.select(F.col("place.r").alias(row)), "representatives")
+    return rows.join(hint(kept), row, "left_semi").drop(fp, row)
