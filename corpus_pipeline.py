@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages over documents; each stage is written as Parquet and read again by the next.
 
-SQL can't state these stages, so ORACLE_SQL is None; tests compare each stage with a brute-force version.
+Every stage works on all rows it is given and drops rows, not ids: an id may be null or repeat, with one text or several. Columns of any
+name pass through, an empty table gives an empty one, and texts are read whole. SQL can't state these stages, so ORACLE_SQL is None; tests
+hold each stage against a brute-force version of its own.
 """
 
 from __future__ import annotations
@@ -9,44 +11,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import bpe, decontam, langid, line_dedup, simhash_dedup
-from textloom.llm.native import hint
+from textloom.llm.native import free_name
 from textloom.llm.queries import RANKS
 from textloom.storage import stored, table
 
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the given ids; rows whose id is null stay."""
-    return docs.join(hint(stored(ids.select("doc_id").distinct(), name)), "doc_id", "left_anti")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those too far from every learnt language."""
+    """Drops documents without letters (null and empty ones too) and those too far from every learnt language; repeated rows share a fate."""
     return langid.accepted(docs, langid.fit(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; a document that loses all its text goes."""
-    cut = line_dedup.deduplicated(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Takes repeated lines out of the texts; a document that so loses all but white space goes.
+
+    Null and empty texts lose nothing and stay. n_chars follows the text where it changes.
+    """
+    n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    cut = line_dedup.deduplicated(docs, n_lines=n_lines, n_removed=n_removed)
+    changed = F.col(n_removed) > 0
+    left = cut.where(~changed | F.col("text").rlike(r"(?U)\S"))
+    sized = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return (left if sized is None else left.withColumn("n_chars", sized)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    found = simhash_dedup.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id"), "near-copies").select(*docs.columns)
+    """Keeps one row of each group of near duplicates: that of the smallest id, null ids last. Texts without words are one group."""
+    return simhash_dedup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"), "contaminated").select(*docs.columns)
+    """Drops rows whose text holds ten consecutive words of a benchmark item, or all words of a shorter one; null texts stay."""
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and the bytes they decode to."""
+    """doc_id, token ids and the bytes they decode to, of every row; a null text has neither ids nor bytes."""
     return bpe.encoded(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
