@@ -165,19 +165,3 @@ def lower_hull(points: DataFrame, at: DataFrame, x: str = "x", y: str = "y", mos
     spans = at.join(F.broadcast(a.join(b, F.col("x0") <= F.col("x1"))), (F.col("x0") <= F.col(x)) & (F.col(x) <= F.col("x1")))
     chord = F.when(F.col("x0") == F.col("x1"), F.least("y0", "y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(x) - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0)))
     return spans.groupBy(x).agg(F.min(chord).alias("hull"))
-
-
-def bootstrap_sigma(df: DataFrame, value: str, cluster: str, n_boot: int = 200, seed: int = 7) -> DataFrame:
-    """Cluster bootstrap of a mean: every cluster gets a Poisson(1) weight per replicate, drawn from its hash; one aggregation."""
-    by = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("b")), F.lit(1 << 30)) / float(1 << 30)
-    at, weight, p, total = 0.0, F.lit(6), 0.36787944117144233, []
-    for k in range(6):
-        at += p
-        total.append((at, k))
-        p /= k + 1
-    for bound, k in reversed(total):
-        weight = F.when(u < bound, k).otherwise(weight)
-    drawn = by.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("sigma"), F.count("m").alias("n_boot"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.functions.text import order_key
-from textloom.operators.mixing import running_total
+from textloom.operators.mixing import grouped_total, running_total
 
 
 def as_of(points: DataFrame, starts: DataFrame, at: str, start: str, owner: str, width: int) -> DataFrame:
     """``points`` with the ``owner`` of the largest ``start`` that is not over ``at``; null before the first start.
 
     Both sides are cut into ranges of ``width``. Within a range a window carries the last start on; what a range inherits is the last start
-    of the ranges before it, found over one row for each range that has starts. ``start`` is unique; ``width`` bounds a range's rows.
+    of the ranges before it, found over one row for each range in two levels. ``start`` is unique; ``width`` bounds a range's rows.
     """
     opened = starts.select(F.floor(F.col(start) / width).alias("__range"), F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(start).alias("s"), F.col(owner).alias("o")).alias("__own"))
     last = opened.groupBy("__range").agg(F.max("__own").alias("__last"))
@@ -22,11 +22,14 @@ def as_of(points: DataFrame, starts: DataFrame, at: str, start: str, owner: str,
     inside = Window.partitionBy("__range").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     told = both.withColumn("__here", F.last("__own", ignorenulls=True).over(inside)).where("__kind = 1").select("__range", "__row", "__here")
     known = told.where("__here IS NOT NULL").select("__row.*", F.col("__here.o").alias(owner))
-    # one small window over ranges, one row each
+    # what a range inherits: the last start of the ranges before it, over blocks of 4096 ranges and then inside a block
     lost = told.where("__here IS NULL").drop("__here")
-    ranges = last.unionByName(lost.select("__range").distinct(), allowMissingColumns=True).groupBy("__range").agg(F.max("__last").alias("__last"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranges.select("__range", F.last("__last", ignorenulls=True).over(before).alias("__before"))
+    ranges = last.unionByName(lost.select("__range").distinct(), allowMissingColumns=True).groupBy("__range").agg(F.max("__last").alias("__last")).withColumn("__block", F.floor(F.col("__range") / 4096))
+    heads = ranges.groupBy("__block").agg(F.max("__last").alias("__ends"))
+    earlier = heads.select("__block", F.last("__ends", ignorenulls=True).over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__ends"))
+    before = Window.partitionBy("__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranges.withColumn("__in", F.last("__last", ignorenulls=True).over(before)).join(earlier, "__block")
+    carried = inner.select("__range", F.coalesce("__in", "__ends").alias("__before"))
     return known.unionByName(lost.join(carried, "__range").select("__row.*", F.col("__before.o").alias(owner)))
 
 
@@ -100,3 +103,52 @@ def demand(files: DataFrame, source: str, file: str, tokens: str, target: Column
     by = Window.partitionBy(source).orderBy(file)
     summed = files.withColumn("__target", target).withColumn("__before", F.coalesce(F.sum(tokens).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return summed.where(F.col("__before") < F.col("__target") * margin).groupBy(source).agg(F.count("*").alias("files"), F.sum(tokens).alias("tokens"))
+
+
+def prior_delta(results: DataFrame, suffix: str, name: str) -> DataFrame:
+    """(id, tier, name): the rank of an item's control, its id and the suffix, less its own; items without a control are left out."""
+    control = results.where(F.endswith("id", F.lit(suffix))).select(F.expr(f"substring(id, 1, length(id) - {len(suffix)})").alias("id"), F.col("rank").alias("__prior"))
+    real = results.where(~F.endswith("id", F.lit(suffix)))
+    return real.join(control, "id").select("id", "tier", (F.col("__prior") - F.col("rank")).alias(name))
+
+
+def compared(scores: DataFrame, chance: dict[str, float]) -> DataFrame:
+    """(task, model, score, headroom, best, mean): each score against its task's chance level, the best of a task, a model's mean headroom."""
+    level = F.create_map(*[F.lit(x) for pair in chance.items() for x in pair])[F.col("task")]
+    room = scores.withColumn("headroom", (F.col("score") - level) / (1 - level))
+    best = room.groupBy("task").agg(F.max("score").alias("__top"))
+    mean = room.groupBy("model").agg(F.avg("headroom").alias("mean"))
+    return room.join(F.broadcast(best), "task").join(F.broadcast(mean), "model").select("task", "model", "score", "headroom", (F.col("score") == F.col("__top")).alias("best"), "mean")  # a row for each task or model
+
+
+def consumption_order(files: DataFrame) -> DataFrame:
+    """``files`` (source, file, phase) in the order they are used: by phase, then by the part of the source's files of the phase, then source."""
+    own = files.withColumn("__slice", F.concat_ws(":", "source", "phase"))
+    ranked = grouped_total(own, "__slice", F.floor(F.col("file") / 4096), [F.col("file")], F.lit(1), "__k")
+    sizes = own.groupBy("__slice").agg(F.count("*").alias("__n"))
+    keyed = ranked.join(F.broadcast(sizes), "__slice").withColumn("fraction", F.col("__k") / F.col("__n"))  # a row for each slice
+    placed = running_total(keyed, F.col("phase") * 2048 + F.floor(F.col("fraction") * 1024), [F.col("fraction"), F.col("source"), F.col("file")], F.lit(1), "position")
+    return placed.drop("__slice", "__k", "__n")
+
+
+def backfilled(old: DataFrame, rebuilt: DataFrame, key: str, column: str) -> DataFrame:
+    """``old`` with one column of a rebuilt table; every other column must be equal in both, row by row of the key, or it is an error."""
+    same = difference(old, rebuilt.select(*old.columns)).first()
+    if same.only_a or same.only_b:
+        raise ValueError(f"{same.only_a} old and {same.only_b} rebuilt rows differ")
+    return old.join(rebuilt.select(key, column), key)
+
+
+def normalised_shares(text: Column) -> Column:
+    """The map of ``a:1,b:3`` with shares that sum to 1; null if one isn't positive."""
+    pairs = F.str_to_map(text, F.lit(","), F.lit(":"))
+    values = F.transform_values(pairs, lambda _, v: v.try_cast("double"))
+    total = F.aggregate(F.map_values(values), F.lit(0.0), lambda a, v: a + v)
+    return F.when(F.forall(F.map_values(values), lambda v: F.coalesce(v > 0, F.lit(False))), F.transform_values(values, lambda _, v: v / total))
+
+
+def slice_argument(text: Column) -> Column:
+    """(label, path, share, passes) of ``label=path:share[:passes]``, passes 1 unless given; null for anything else."""
+    pattern = r"^([^=]+)=(.+?):(\d+(?:\.\d+)?)(?::(\d+))?$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("label"), part(2).alias("path"), part(3).cast("double").alias("share"), F.coalesce(part(4).try_cast("long"), F.lit(1).cast("long")).alias("passes")))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.operators.mixing import running_total
 from textloom.sizes import hint
 
 
@@ -39,6 +40,26 @@ def grams(tokens: Column, n: int, stride: int = 1) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_join(F.slice(tokens, s + 1, n), " ").alias("gram")))
 
 
+def vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(token, id, n): the distinct tokens with dense ids from 0, the most frequent first; numbered over ranges of their counts."""
+    counts = docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # counts alone would leave all that occur once in one bucket, so the code point that a token begins with cuts each further
+    first = F.ascii("token")
+    twice = F.least(F.col("n"), F.lit(1 << 20))
+    ordered = running_total(counts, -twice * (1 << 21) + first, [F.desc("n"), F.col("token")], F.lit(1), "id")
+    return ordered.select("token", (F.col("id") - 1).alias("id"), "n")
+
+
+def with_ids(docs: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens", unknown: int = -1) -> DataFrame:
+    """(key, ids): tokens as ids of a vocabulary, ``unknown`` for others; documents without tokens are left out.
+
+    A vocabulary of measured small size is broadcast; beyond it the tokens meet it in a join that adaptive execution can split.
+    """
+    placed = docs.select(key, F.posexplode(tokens).alias("p", "token")).join(hint(vocabulary.select("token", "id")), "token", "left")
+    by = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("x"))
+    return by.select(key, F.transform("x", lambda s: s["id"]).alias("ids"))
+
+
 def gram_hashes(tokens: Column, n: int, stride: int = 1) -> Column:
     """(at, h1, h2) of every ``stride``-th run of n tokens: 128 bits stand for it, so no text of a gram is ever built or shuffled."""
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n, F.lit(stride))).otherwise(F.array().cast("array<int>"))

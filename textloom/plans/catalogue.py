@@ -1,4 +1,4 @@
 """All registered queries; importing the modules registers theirs."""
 
-from textloom.plans import corpus, evaluation, relations, renders, rows  # noqa: F401
+from textloom.plans import chains, corpus, evaluation, evidence, relations, renders, reports, rows, sources  # noqa: F401
 from textloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -54,11 +54,6 @@ def cluster_se(spark: SparkSession, sf: str) -> DataFrame:
     return M.cluster_mean_se(lines, "l_discount", "c").withColumns({"mean": F.round("mean", 6), "se": F.round("se", 8)})
 
 
-@register("bootstrap")
-def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return M.bootstrap_sigma(table(spark, sf, "lineitem").select("l_discount", F.pmod("l_orderkey", F.lit(997)).alias("c")), "l_discount", "c")
-
-
 @register("paired_counts", f"""
 WITH c AS (SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only, count(*) AS n FROM (SELECT quality = 1 AS a, score > 1500 AS b FROM ({_SCORED})))
 SELECT a_only, b_only, n, round((a_only - b_only) / n, 6) AS diff, round(sqrt(a_only + b_only - pow(a_only - b_only, 2) / n) / n, 6) AS sigma, round((a_only - b_only) / sqrt(a_only + b_only - pow(a_only - b_only, 2) / n), 6) AS z FROM c""")
