@@ -33,8 +33,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most features counted in lanes of 16 bits; the rare line with more is counted by runs of RUN in lanes of 8 bits, with the same result.
 LANES = 16_383
 RUN = 127
-#: Lines up to this length are compared whole, longer ones without their common ends, and those over ten times as long by anchors first.
-PLAIN = 400
+#: Lines over ANCHORED characters are compared by anchors first; stretches between anchors are compared up to STRETCH.
+ANCHORED, STRETCH = 120, 4000
 _EIGHT, _FOUR, _TWO = 0x0101010101010101, 0x0001000100010001, 0x0000000100000001
 _PLACE = ["doc_id", "d1", "d2", "line"]
 
@@ -104,7 +104,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     lack = (F.lit(LANES).cast("long") - F.floor(F.col("n") / 2)) * F.lit(_FOUR)
     fp = _joined([F.shiftrightunsigned(F.col(f"c{k}") + lack, 14).bitwiseAND(F.lit(_FOUR)) for k in range(16)])
     short = counts.select(*_PLACE, "k1", "k2", fp.alias("fp"), "size")
-    vast = told(docs.where(F.length("text") > LANES)).where(F.size("w") > LANES)
+    vast = told(docs.where((F.length("text") > LANES) & F.col("text").rlike(f"[^\\n]{{{LANES + 1}}}"))).where(F.size("w") > LANES)
     return short.unionByName(vast.select(*_PLACE, "k1", "k2", simhash_of_runs(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "size"))
 
 
@@ -128,26 +128,30 @@ def _middles(a: Column, b: Column, then) -> Column:
 
 
 def _anchored(x: Column, y: Column) -> Column:
-    """A number that the edit distance of two word arrays, a space after each word, isn't over.
+    """A number that the edit distance of two word arrays, a space after each word, isn't over; for arrays of up to a million words.
 
     Words that stand once in each are anchors; the distances of what lies between them are added up. Between words far apart, where that
-    would be a long comparison of its own, the longer length is taken.
+    would be a long comparison of its own, the longer length is taken. Words are sorted as longs: 43 bits of a hash, the side, the place.
     """
-    tagged = lambda a, side: F.sort_array(F.transform(a, lambda w, i: F.struct(w.alias("w"), F.lit(side).alias("s"), i.alias("i"))))
-    differs = lambda t, k, e: ~F.get(t, k)["w"].eqNullSafe(e["w"])
-    once = lambda a, side: let(tagged(a, side), lambda t: F.filter(t, lambda e, k: differs(t, k - 1, e) & differs(t, k + 1, e)))
-    met = lambda b: F.transform(b, lambda e, k: F.when((e["s"] == 0) & ~differs(b, k + 1, e), F.struct(e["i"].alias("a"), F.get(b, k + 1)["i"].alias("b"))))
-    anchors = F.sort_array(F.filter(let(F.sort_array(F.concat(once(x, 0), once(y, 1))), met), lambda p: p.isNotNull()))
+    high, side, place = F.lit(-1 << 21), F.lit(1 << 20), F.lit((1 << 20) - 1)
+    coded = lambda a, bit: F.transform(a, lambda w, i: F.xxhash64(w).bitwiseAND(high).bitwiseOR(i.cast("long") + bit))
+    alike = lambda a, b: a.bitwiseXOR(b).bitwiseAND(high) == 0
+    apart = lambda s, k, e: ~F.coalesce(alike(F.get(s, k), e), F.lit(False))
+    pair = lambda s, k, e: F.when(~apart(s, k + 1, e) & (e.bitwiseAND(side) == 0) & (F.get(s, k + 1).bitwiseAND(side) != 0) & apart(s, k - 1, e) & apart(s, k + 2, e), F.shiftleft(e.bitwiseAND(place), 21) + F.get(s, k + 1).bitwiseAND(place))
+    anchors = F.sort_array(F.filter(let(F.sort_array(F.concat(coded(x, 0), coded(y, 1 << 20))), lambda s: F.transform(s, lambda e, k: pair(s, k, e))), lambda p: p.isNotNull()))
     said = lambda w, at, n: F.when(n > 0, F.concat(F.array_join(F.slice(w, at, n), " "), F.lit(" "))).otherwise(F.lit(""))
 
     def step(s: Column, p: Column) -> Column:
-        da, db = p["a"] - s["a"], p["b"] - s["b"]
-        apart = let(said(x, s["a"] + 2, da - 1), lambda m: let(said(y, s["b"] + 2, db - 1), lambda n: F.when(F.greatest(F.length(m), F.length(n)) <= 10 * PLAIN, F.levenshtein(m, n)).otherwise(F.greatest(F.length(m), F.length(n)))))
-        taken = (db > 0) & ((F.abs(da - db) <= 64) | (p["a"] == F.size(x)))
-        return F.when(taken, F.struct(p["a"].alias("a"), p["b"].alias("b"), (s["n"] + F.when((da == 1) & (db == 1), 0).otherwise(apart)).alias("n"))).otherwise(s)
+        pa, pb = F.shiftright(p, 21).cast("int"), p.bitwiseAND(place).cast("int")
+        da, db = pa - s["a"], pb - s["b"]
+        between = let(said(x, s["a"] + 2, da - 1), lambda m: let(said(y, s["b"] + 2, db - 1), lambda n: F.when(F.greatest(F.length(m), F.length(n)) <= STRETCH, F.levenshtein(m, n)).otherwise(F.greatest(F.length(m), F.length(n)))))
+        # the last anchor are the ends; any other must be the same word, and about as far on in both
+        taken = (pa == F.size(x)) | ((db > 0) & (F.abs(da - db) <= 64) & F.get(x, pa).eqNullSafe(F.get(y, pb)))
+        return F.when(taken, F.struct(pa.alias("a"), pb.alias("b"), (s["n"] + F.when((da == 1) & (db == 1), 0).otherwise(between)).alias("n"))).otherwise(s)
 
     start = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("n"))
-    return F.aggregate(F.array_append(anchors, F.struct(F.size(x).alias("a"), F.size(y).alias("b"))), start, step, lambda s: s["n"])
+    ends = F.shiftleft(F.size(x).cast("long"), 21) + F.size(y)
+    return F.aggregate(F.array_append(anchors, ends), start, step, lambda s: s["n"])
 
 
 def _within(a: Column, b: Column, most: Column) -> Column:
@@ -157,15 +161,15 @@ def _within(a: Column, b: Column, most: Column) -> Column:
 def _alike(a: Column, b: Column) -> Column:
     """Whether two normalised lines have an edit similarity of SIMILARITY or more.
 
-    The comparison takes the square of the length, so lines over PLAIN lose their common ends first, and long ones are accepted without it
-    where their anchors prove them alike, as they do for copies with scattered edits.
+    The comparison takes the square of the length. Lines over ANCHORED are therefore accepted without it where their anchors prove them
+    alike, as they mostly do for copies with some edits; for others their common first and last words are taken off before it.
     """
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    proven = lambda m, n: (longest > 10 * PLAIN) & (let(F.filter(F.split(m, " "), lambda w: w != ""), lambda x: let(F.filter(F.split(n, " "), lambda w: w != ""), lambda y: _anchored(x, y))) <= most)
-    tested = lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | proven(m, n) | _within(m, n, most)
-    long = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, tested)))
-    return F.when(longest <= PLAIN, _within(a, b, most)).otherwise(long)
+    whole = lambda x, y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | _within(m, n, most))
+    sized = lambda x, y: F.greatest(F.size(x), F.size(y)) < 1 << 20
+    long = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: (sized(x, y) & (_anchored(x, y) <= most)) | whole(x, y)))
+    return F.when(longest <= ANCHORED, _within(a, b, most)).otherwise(long)
 
 
 def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
@@ -181,6 +185,36 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.repartition("u", "v").where(_alike(F.col("su"), F.col("sv"))).select("u", "v"), "line-links")
 
 
+def _connecting(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """Links (u, v) among the candidate pairs (u, v, h) that connect what all their alike pairs connect.
+
+    A pair whose lines are connected already needs no comparison. First each line is compared with its nearest candidate by h, then one
+    pair of each two groups that are left, the nearest, and at last all pairs that still lie between groups.
+    """
+    links, left, roots = None, pairs, None
+    for at in range(rounds + 1):
+        if at == 0:
+            ends = left.select("u", "v", "h", F.explode(F.array("u", "v")).alias("own"))
+            best = ends.groupBy("own").agg(F.min(F.struct("h", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
+        elif at < rounds:
+            best = left.groupBy("ru", "rv").agg(F.min(F.struct("h", "u", "v")).alias("b")).select("b.u", "b.v")
+        else:
+            best = left.select("u", "v")
+        best = stored(best, "line-tried")
+        if not best.take(1):
+            break
+        found = _verified(best, kinds, docs)
+        links = found if links is None else links.unionByName(found)
+        if at == rounds:
+            break
+        roots = hint(stored(connected_components(links), "line-roots"))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"__{c}"))
+        rest = left.select("u", "v", "h").join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        a, b = F.coalesce("__u", "u"), F.coalesce("__v", "v")
+        left = stored(rest.where(a != b).select("u", "v", "h", F.least(a, b).alias("ru"), F.greatest(a, b).alias("rv")), "line-pairs")
+    return pairs.select("u", "v").where("false") if links is None else links
+
+
 def _near(a: str, b: str) -> Column:
     """Whether two rows of one bucket are worth verifying."""
     return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= 1) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MAX_BITS)
@@ -220,9 +254,9 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     heads = cells.groupBy("key").agg(F.collect_list(F.struct(F.col("size"), F.col("head").alias("k1"), F.col("head_fp").alias("fp"))).alias("heads"))
     heads = stored(heads, "line-heads")
     tried = met.alias("a").join(hint(heads), "key").select("a.*", F.explode("heads").alias("b")).where((F.col("k1") != F.col("b.k1")) & (F.abs(F.col("size") - F.col("b.size")) <= 1) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS))
-    star = tried.select(*_pair("k1", "b.k1")).distinct()
-    first_links = _verified(stored(once.select(F.col("a.k1").alias("u"), F.col("b.k1").alias("v")).unionByName(star), "line-pairs"), kinds, docs)
-
+    star = tried.select(*_pair("k1", "b.k1"), F.bit_count(F.col("fp").bitwiseXOR(F.col("b.fp"))).alias("h")).distinct()
+    tried = stored(once.select(F.col("a.k1").alias("u"), F.col("b.k1").alias("v"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("h")).unionByName(star), "line-pairs")
+    first_links = _connecting(tried, kinds, docs)
     roots = stored(connected_components(first_links), "line-roots")
     classed = met.join(hint(roots), F.col("k1") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k1")).drop("node", "root")
     sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"))
