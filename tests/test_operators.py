@@ -1,13 +1,15 @@
 import gzip
+import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
-from textloom.operators import metrics as M, mixing, relations as R, tokens, vectors
+from textloom.functions import renders as D, text as T
+from textloom.operators import biographies, evidence, metrics as M, mixing, relations as R, reports, rows, stores, tokens, vectors
 from textloom.sources import readers
 from textloom.storage import table
 from textloom.streaming import events
@@ -55,8 +57,11 @@ def test_text_functions(spark):
     assert one(spark, T.last_number(F.lit("a 1,200 b -3.5 c"))) == "-3.5"
     assert one(spark, T.cut_at_stop(F.lit("abc\n\nQ: d"), ["\n\n", "Q:"])) == "abc"
     assert one(spark, T.is_abstention(F.lit("I do not know that."), ["i do not know"]))
-    assert one(spark, T.render_math(F.lit("q"), F.lit("1+1=<<1+1=2>>2\n#### 2"))).response.endswith("The answer is 2.")
-    assert one(spark, T.sigmoid_ratio(F.lit(0.0), F.lit(-1000.0))) == 0.0
+    assert one(spark, T.split_sentences(F.lit('He left. "why not" he said. (see below) ok. [x] y'))) == ["He left.", '"why not" he said.', "(see below) ok.", "[x] y"]
+    assert one(spark, D.worked_turns(F.lit("q"), F.lit("1+1=<<1+1=2>>2\n#### 2"))).response == "1+1=2\nThe answer is 2."
+    assert one(spark, T.sigmoid_ratio(F.lit(0.0), F.lit(-1000.0))) == 1.0 and one(spark, T.sigmoid_ratio(F.lit(-1000.0), F.lit(0.0))) == 0.0
+    assert one(spark, T.swapped_with_count(F.lit("Été, été étés"), ["été"], "x")) == ("x, x étés", 2)
+    assert one(spark, T.swapped_by_columns(F.lit("New York, york"), F.array(F.lit("York"), F.lit("new york")), F.lit("a$1\\"))) == ("a$1\\, a$1\\", 2)
     assert one(spark, T.has_repeated_ngram(F.array(*map(F.lit, "a b a b".split())), 2))
 
 
@@ -65,8 +70,81 @@ def test_metrics(spark):
     assert M.auroc(empty, "s", "y").first().auroc is None
     tied = spark.createDataFrame([(1.0, 1), (1.0, 0), (2.0, 1)], "s double, y int")
     assert M.auroc(tied, "s", "y").first().auroc == 0.75
-    boot = M.bootstrap_sigma(spark.range(400).withColumn("v", (F.col("id") % 2).cast("double")), "v", "id").first()
+    boot = reports.bootstrap(spark.range(400).select(F.col("id").alias("key"), (F.col("id") % 2).cast("double").alias("s"), F.lit(1).alias("n")), "key", 200).first()
     assert abs(boot["mean"] - 0.5) < 0.02 and 0.015 < boot.sigma < 0.035
+    same = spark.createDataFrame([(True, True)], "a boolean, b boolean")
+    assert tuple(M.paired_counts(same, "a", "b").first()) == (0, 0, 1, 0.0, 0.0, 0.0)
+
+
+def test_quantiles_narrow_to_exact_order_statistics(spark):
+    rng = random.Random(3)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [float(rng.randrange(4)) for _ in range(3000)], [1.5], [2.0] * 500 + [None] * 7):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        known = [v for v in values if v is not None]
+        want = np.quantile(known, [0, 0.1, 1 / 3, 0.5, 0.99, 1])
+        assert np.allclose(M.quantiles(df, "v", [0, 0.1, 1 / 3, 0.5, 0.99, 1], together=20), want)
+    assert M.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_packed_rows_of_known_documents(spark):
+    docs = spark.createDataFrame([(0, ["a", "b", "c"]), (8, ["<s>", "d"]), (16, ["e"] * 6), (24, [])], "doc_id long, ids array<string>")
+    got = {r.row: r for r in rows.split_rows(docs, 8, 8, 2).collect()}
+    assert got[0].ids == ["<s>", "a", "b", "c", "</s>", "<pad>", "<s>", "d"] and got[0].segments == [0] * 6 + [1] * 2
+    assert got[0].labels == [None, "a", "b", "c", "</s>", None, None, "d"]
+    assert got[1].ids == ["<s>"] + ["e"] * 6 + ["</s>"] and got[1].labels[0] is None and got[1].labels[-1] == "</s>"
+    chats = spark.createDataFrame([(0, ["u", "x", "y"], [0, 1, 1]), (4, ["<s>", "z"], [0, 1]), (8, ["w"] * 20, [1] * 20)], "doc_id long, ids array<string>, mask array<int>")
+    row = rows.whole_rows(chats, 10, 4, 1).first()
+    assert row.ids == ["<s>", "u", "x", "y", "<pad>", "<s>", "z", "<pad>", "<pad>", "<pad>"] and row.segments == [0] * 5 + [1] * 3 + [2, 3]
+    assert row.weights == [0, 0, 0.5, 0.5, 0, 0, 1, 0, 0, 0] and row.labels[2:4] == ["x", "y"]
+
+
+def test_claims_match_the_sequential_order(spark):
+    rng = random.Random(5)
+    wanted = [(q, i) for q in range(60) for i in rng.sample(range(90), 3)]
+    order = sorted(range(60), key=lambda q: (hashlib.sha1(f"42:{q}".encode()).hexdigest(), q))
+    claimed, won = set(), set()
+    for q in order:
+        own = {i for p, i in wanted if p == q}
+        if not own & claimed:
+            claimed |= own
+            won.add(q)
+    assert {r.qid for r in stores.exclusive_claims(spark.createDataFrame(wanted, "qid long, id long")).collect()} == won
+    assert stores.exclusive_claims(spark.createDataFrame([], "qid long, id long")).count() == 0
+
+
+def test_draws_take_all_that_there_is(spark):
+    pool = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "text string")
+    asked = spark.createDataFrame([(1, 5, ["a"], []), (2, 1, ["a", "b"], ["c"]), (3, 0, [], []), (4, 2, [], ["b"])], "qid long, k int, gold array<string>, taken array<string>")
+    got = {r.qid: r.drawn for r in evidence.drawn(asked, pool).collect()}
+    assert sorted(got[1]) == ["b", "c"] and got[2] == got[3] == [] and sorted(got[4]) == ["a", "c"]
+    assert {r.qid: r.drawn for r in evidence.drawn(asked, pool.where("false")).collect()}[1] == []
+
+
+def test_errors_name_what_is_wrong(spark):
+    asked, known = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "x")], "k long, v string")
+    with pytest.raises(KeyError):
+        stores.looked_up(asked, known, "k", ["v"])
+    chunks = spark.createDataFrame([(0, [1.0], "a"), (0, [1.0], "b")], "chunk_id long, vec array<double>, text string")
+    with pytest.raises(ValueError, match="ids repeat"):
+        stores.write_store(chunks, "unused", 1)
+    order = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "position long, source string, k long")
+    with pytest.raises(ValueError, match="slice a"):
+        mixing.replayed(order, order.where("k = 1").select("source", "k"))
+    with pytest.raises(ValueError, match="differ"):
+        R.backfilled(known, known.withColumn("v", F.lit("y")).withColumn("e", F.lit(1)), "k", "e")
+
+
+def test_masked_spans_of_unsupported_values(spark):
+    people = spark.createDataFrame([(k, 0, f"Name {k}", "he", "Rome" if k % 2 else "Oslo", "AAA") for k in range(40)], "key long, exposure int, name string, pronoun string, city string, trade string")
+    cards = people.select("key", F.array(F.lit("A card with AAA.")).alias("cards"))
+    made = biographies.retrieval_documents(people, cards, {"city": [], "trade": ["AAA", "BBB"]}, {"city": ["{s} lives in {v}."], "trade": ["{s} does {v}."]}).collect()
+    seen = set()
+    for r in made:
+        lost = {t.token for t, m in zip(r.tokens, r.mask, strict=True) if not m}
+        assert lost == (set() if r.gold else {("Rome" if r.key % 2 else "Oslo") + "."}) and (not r.swapped or r.gold)
+        assert ("Person " in r.text) == (r.placeholder is not None) and (("BBB" in r.text) == bool(r.swapped))
+        seen.add((r.gold, r.placeholder is not None, bool(r.swapped)))
+    assert seen == {(True, False, False), (True, False, True), (False, False, False), (False, True, False)}
 
 
 def test_sequence_counts(spark):
@@ -91,11 +169,11 @@ def test_balanced_clusters(spark):
 
 
 def test_readers(spark, tmp_path):
-    rows = [{"text": "a", "n": 1}, {"text": "b", "n": 2}]
-    lines = "\n\n".join(map(json.dumps, rows))
+    said = [{"text": "a", "n": 1}, {"text": "b", "n": 2}]
+    lines = "\n\n".join(map(json.dumps, said))
     (tmp_path / "a.jsonl.gz").write_bytes(gzip.compress(lines.encode()))
     (tmp_path / "a.jsonl.zst").write_bytes(zstandard.compress(lines.encode()))
-    (tmp_path / "rows.json").write_text(json.dumps(rows))
+    (tmp_path / "rows.json").write_text(json.dumps(said))
     (tmp_path / "cols.json").write_text(json.dumps({"text": ["a", "b"], "n": [1, 2]}))
     (tmp_path / "t.tsv").write_text("text\tn\na\t1\nb\t2\n")
     texts = lambda df: sorted(r.text for r in df.collect())
@@ -138,9 +216,9 @@ def test_answer_rules(spark):
     assert one(spark, T.last_number(F.lit(" none, here "))) == "none here"
     assert one(spark, T.is_abstention(F.lit("I cannot answer."), ["I cannot answer that question."]))
     assert not one(spark, T.is_abstention(F.lit("I"), ["I do not know."]))
-    assert one(spark, T.render_math(F.lit("q"), F.lit("only steps"))).response == "only steps"
-    assert one(spark, T.render_math(F.lit("q"), F.lit("#### 7"))).response == "The answer is 7."
-    assert one(spark, T.render_math(F.lit(" "), F.lit("a"))) is None
+    assert one(spark, D.worked_turns(F.lit("q"), F.lit("only steps"))).response == "only steps"
+    assert one(spark, D.worked_turns(F.lit("q"), F.lit("#### 7"))).response == "The answer is 7."
+    assert one(spark, D.worked_turns(F.lit(" "), F.lit("a"))) is None
 
 
 def test_as_of_carries_over_empty_ranges(spark):
@@ -154,5 +232,5 @@ def test_overlaps_and_runs(spark):
     a = spark.createDataFrame([(1, 0, 100), (1, 5, 5), (2, 0, 9)], "k int, a_start long, a_end long")
     b = spark.createDataFrame([(1, 99, 140), (1, 100, 120), (1, 0, 200), (2, 9, 12)], "k int, b_start long, b_end long")
     assert sorted((r.a_start, r.b_start, r.b_end) for r in R.overlaps(a, b, "k", 10).collect()) == [(0, 0, 200), (0, 99, 140)]
-    rows = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "x"), (1, 4, None)], "g int, t int, v string")
-    assert sorted((r.run, r.v, r.n) for r in R.runs(rows, "g", ["t"], "v").collect()) == [(1, None, 2), (2, "x", 1), (3, None, 1)]
+    changes = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "x"), (1, 4, None)], "g int, t int, v string")
+    assert sorted((r.run, r.v, r.n) for r in R.runs(changes, "g", ["t"], "v").collect()) == [(1, None, 2), (2, "x", 1), (3, None, 1)]

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans import registry
+from textloom.plans import catalogue as registry
 
 SF = "/root/testdata/sf0.001"
 

@@ -314,3 +314,41 @@ def waterfall(short: DataFrame, receivers: DataFrame) -> DataFrame:
     ahead = receivers.withColumn("before", F.coalesce(F.sum("room").over(by), F.lit(0.0)))
     left = F.greatest(F.col("excess") - F.col("before"), F.lit(0.0))
     return ahead.crossJoin(F.broadcast(short)).select("name", F.least(left, "room").alias("given"))
+
+
+def swap_reading(scores: Column, gold: Column, swap: Column) -> Column:
+    """(norm_rank, follow, mr_ll) of a substitute among the candidates: its rank from 0 to 1, ties half, whether it is first, and sigmoid(gold - swap)."""
+    own = F.get(scores, swap)
+    rank = F.size(F.filter(scores, lambda s: s > own)) + 0.5 * (F.size(F.filter(scores, lambda s: s == own)) - 1)
+    return F.struct((rank / F.greatest(F.size(scores) - 1, F.lit(1))).alias("norm_rank"), (rank == 0).alias("follow"), sigmoid_ratio(F.get(scores, gold), own).alias("mr_ll"))
+
+
+def ridge_folds(df: DataFrame, x: str, y: str, fold: str, penalty: float) -> DataFrame:
+    """(fold, n, slope, intercept, mse) of a ridge line fitted outside each fold and measured in it, from one pass of sums by fold."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = {"n": F.count("*").cast("double"), "x": F.sum(a), "y": F.sum(b), "xx": F.sum(a * a), "xy": F.sum(a * b), "yy": F.sum(b * b)}
+    by = df.groupBy(fold).agg(*(e.alias(c) for c, e in sums.items()))
+    whole = by.agg(*(F.sum(c).alias(f"t{c}") for c in sums))
+    r = {c: F.col(f"t{c}") - F.col(c) for c in sums}
+    mx, my = r["x"] / r["n"], r["y"] / r["n"]
+    slope = (r["xy"] - r["n"] * mx * my) / (r["xx"] - r["n"] * mx * mx + penalty)
+    fitted = by.crossJoin(F.broadcast(whole)).withColumns({"slope": slope, "mx": mx, "my": my})  # one row
+    fitted = fitted.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    s, i = F.col("slope"), F.col("intercept")
+    mse = (F.col("yy") - 2 * s * F.col("xy") - 2 * i * F.col("y") + s * s * F.col("xx") + 2 * s * i * F.col("x") + F.col("n") * i * i) / F.col("n")
+    return fitted.select(fold, F.col("n").cast("long").alias("n"), "slope", "intercept", mse.alias("mse"))
+
+
+def relation_plan(facts: DataFrame, n: int, least: int, seed: int = 42) -> DataFrame:
+    """(id, relation, candidates): the object of each fact among n - 1 others of its relation that aren't answers, in a drawn order.
+
+    ``facts`` has id, relation, object and answers. Relations of fewer than ``least`` distinct objects are left out; objects of one
+    relation are gathered into a row and broadcast, so they must be few.
+    """
+    pools = facts.select("relation", "object").distinct().groupBy("relation").agg(F.array_sort(F.collect_list(F.struct(order_key(seed, F.col("object")).alias("h"), F.col("object").alias("o")))).alias("p"))
+    met = facts.join(F.broadcast(pools.where(F.size("p") >= least)), "relation")  # a row for each relation
+    others = F.filter(F.transform("p", lambda x: x["o"]), lambda o: ~F.array_contains("answers", o))
+    start = F.floor(draw(seed, F.col("id")) * F.size("others")).cast("int")
+    made = met.withColumn("others", others).withColumn("near", F.slice(F.concat("others", "others"), start + 1, F.least(F.lit(n - 1), F.size("others"))))
+    mixed = F.transform(F.array_sort(F.transform(F.array_append("near", F.col("object")), lambda v: F.struct(order_key(seed, F.col("id"), v).alias("h"), v.alias("v")))), lambda s: s["v"])
+    return made.select("id", "relation", mixed.alias("candidates"))

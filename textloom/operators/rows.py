@@ -15,6 +15,11 @@ def with_start(ids: Column, bos: str = BOS) -> Column:
     return F.when((F.size(ids) > 0) & (F.get(ids, F.lit(0)) != bos), F.concat(F.array(F.lit(bos)), ids)).otherwise(ids)
 
 
+def over_limit(ids: Column, row_len: int, seps: int, bos: str = BOS) -> Column:
+    """Whether a document, with its start mark and separators, is longer than a row."""
+    return F.size(ids) + F.when((F.size(ids) > 0) & (F.get(ids, F.lit(0)) == bos), 0).otherwise(1) + seps > row_len
+
+
 def stream_starts(docs: DataFrame, row_len: int, shards: int, seps: int, key: str = "doc_id") -> DataFrame:
     """(key, shard, start): where each document begins in its shard's stream of cells; rows are ``row_len`` cells each.
 

@@ -254,3 +254,79 @@ def pooled(spark: SparkSession, sf: str) -> DataFrame:
     """(type, norm, form, variant): the distinct typed answers, each as its first question has it."""
     told = typed(spark, sf).withColumn("norm", T.normalize_answer(F.col("answer"))).where((F.col("type") != "COMMON") & (F.col("norm") != ""))
     return told.groupBy("type", "norm").agg(F.min_by("form", "id").alias("form"), F.min_by("variant", "id").alias("variant"))
+
+
+@register("counterfactuals", f"""
+WITH {_TYPED}, pool AS (SELECT DISTINCT type, arg_min(variant, id) AS variant, arg_min(form, id) AS form FROM v WHERE type <> 'COMMON' AND {_NORM.format('s')} <> '' GROUP BY type, {_NORM.format('s')}),
+k AS (SELECT DISTINCT type || '|' || variant AS pool, form FROM pool WHERE variant <> '' UNION SELECT DISTINCT type, form FROM pool), g AS (SELECT pool, form, row_number() OVER (PARTITION BY pool ORDER BY sha1('42:' || form), form) AS place, count(*) OVER (PARTITION BY pool) AS size FROM k),
+q AS (SELECT id AS qid, s, type, variant, 'Here is ' || CASE WHEN id % 5 = 0 THEN 'x' ELSE s END || ', said twice: ' || CASE WHEN id % 5 = 0 THEN 'y' ELSE s END || '.' AS text FROM v WHERE id % 4 = 0),
+r AS (SELECT *, CASE WHEN s = '' THEN 'unanswerable' WHEN type = 'COMMON' THEN 'type_not_swappable' WHEN id5 THEN 'answer_not_in_passage' END AS early FROM (SELECT *, qid % 5 = 0 AS id5 FROM q)),
+w AS (SELECT r.*, CASE WHEN variant <> '' AND coalesce((SELECT any_value(size) FROM g WHERE g.pool = r.type || '|' || r.variant), 0) >= 20 THEN type || '|' || variant WHEN type NOT IN ('NUMBER', 'PROPER') THEN type END AS pool FROM r WHERE early IS NULL),
+m AS (SELECT w.qid, g.form, (g.place - 1 - floor({DRAW.format("w.qid")} * g.size)::BIGINT + g.size) % g.size AS step FROM w JOIN g ON g.pool = w.pool WHERE NOT contains({_NORM.format('w.s')}, {_NORM.format('g.form')}) AND NOT contains({_NORM.format('g.form')}, {_NORM.format('w.s')}) AND NOT regexp_matches(w.text, '(?i)(^|[^\\pL\\pN\\pM_])' || regexp_escape(g.form) || '($|[^\\pL\\pN\\pM_])')),
+best AS (SELECT qid, arg_min(form, step) AS form FROM m GROUP BY qid)
+SELECT r.qid, coalesce(early, CASE WHEN form IS NULL THEN 'no_substitute' ELSE 'eligible' END) AS reason, CASE WHEN early IS NULL THEN form END AS substitute, CASE WHEN early IS NULL AND form IS NOT NULL THEN 2 END AS n FROM r LEFT JOIN best ON best.qid = r.qid""".replace(DRAW.format("w.qid"), DRAW.format("'42:' || w.qid")))
+def counterfactuals(spark: SparkSession, sf: str) -> DataFrame:
+    told = answers(spark, sf).where("id % 4 = 0")
+    said = F.trim("answer")
+    passage = lambda other: F.when(F.col("id") % 5 == 0, F.lit(other)).otherwise(said)
+    text = F.concat(F.lit("Here is "), passage("x"), F.lit(", said twice: "), passage("y"), F.lit("."))
+    records = told.select(F.col("id").alias("qid"), "question", F.array(said).alias("references"), text.alias("text"))
+    return V.counterfactuals(records, pooled(spark, sf)).select("qid", "reason", "substitute", "n")
+
+
+@register("recent_draws", f"""
+WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents), w AS (SELECT doc_id, source, place, least(place - 1, 6) AS room, unnest(range(0, least(place - 1, 3))) AS step FROM p),
+d AS (SELECT w.doc_id, w.step, o.doc_id AS other FROM w JOIN p o ON o.source = w.source AND o.place = w.place - 1 - (floor({DRAW.format("'42:recent:' || w.doc_id")} * room)::BIGINT + step) % room)
+SELECT p.doc_id, coalesce(string_agg(other::VARCHAR, ',' ORDER BY step), '') AS drawn FROM p LEFT JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id""")
+def recent_draws(spark: SparkSession, sf: str) -> DataFrame:
+    found = V.recent(table(spark, sf, "documents"), 3, 6)
+    return found.select("doc_id", F.array_join(F.transform("drawn", lambda x: x.cast("string")), ",").alias("drawn"))
+
+
+@register("unanswerable_sample", f"SELECT item_id FROM benchmark WHERE item_id % 3 > 0 OR {DRAW.format("'8:' || item_id")} < 0.4")
+def unanswerable_sample(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("item_id")
+    return table(spark, sf, "benchmark").where((i % 3 > 0) | (T.draw(8, i) < 0.4)).select("item_id")
+
+
+@register("question_blocks", "WITH r AS (SELECT source, lang AS title, min(doc_id) AS key, count(*) AS n FROM documents GROUP BY ALL) SELECT source, title, key, n, key % 7 = 0 AS gold FROM r")
+def question_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    by = table(spark, sf, "documents").groupBy("source", F.col("lang").alias("title")).agg(F.min("doc_id").alias("key"), F.count("*").alias("n"))
+    return by.withColumn("gold", F.col("key") % 7 == 0)
+
+
+@register("cached_vectors", "WITH k AS (SELECT text, length(text) AS a, strlen(text) AS b FROM documents GROUP BY text) SELECT doc_id, round(a / sqrt(a * a + b * b), 6) AS first FROM documents JOIN k USING (text) WHERE a + b > 0")
+def cached_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    embed = lambda texts: texts.withColumn("vec", F.array(F.length("text").cast("double"), F.octet_length("text").cast("double")))
+    return vectors.embedded(table(spark, sf, "documents").where("text <> ''").select("doc_id", "text"), embed).select("doc_id", F.round(F.get("vec", F.lit(0)), 6).alias("first"))
+
+
+@register("answer_frequency", f"""
+WITH a AS (SELECT item_id, ({DOC_TOKENS})[1] AS t FROM benchmark WHERE len({DOC_TOKENS}) > 0), d AS (SELECT {DOC_TOKENS} AS t FROM documents), o AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM d) GROUP BY w), p AS (SELECT w, count(*) AS n FROM (SELECT t[i] || ' ' || t[i + 1] AS w FROM (SELECT t, unnest(range(1, len(t))) AS i FROM d)) GROUP BY w)
+SELECT item_id, coalesce(o.n, 0) + coalesce(p.n, 0) AS n FROM a LEFT JOIN o ON o.w = a.t LEFT JOIN p ON p.w = 'the ' || a.t""")
+def answer_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    first = table(spark, sf, "benchmark").select("item_id", F.get(T.tokens(F.col("text")), F.lit(0)).alias("t")).where("t IS NOT NULL")
+    forms = first.select("item_id", F.explode(F.array("t", F.concat(F.lit("the "), "t"))).alias("pattern"))
+    counts = tokens.sequence_counts(documents(spark, sf).select("tokens"), forms.select("pattern").distinct())
+    return forms.join(counts, "pattern").groupBy("item_id").agg(F.sum("n").alias("n"))
+
+
+@register("supervised_overlap", f"""
+WITH c AS (SELECT item_id, {DOC_TOKENS} AS t FROM benchmark), d AS (SELECT {DOC_TOKENS} AS t FROM documents), g AS (SELECT DISTINCT array_to_string(t[i + 1:i + 8], ' ') AS g FROM (SELECT t, unnest(range(0, len(t) - 7)) AS i FROM d) WHERE i >= len(t) // 3),
+h AS (SELECT DISTINCT item_id, unnest(range(i, i + 8)) AS p FROM (SELECT item_id, i, array_to_string(t[i + 1:i + 8], ' ') AS g FROM (SELECT item_id, t, unnest(range(0, len(t) - 7, 4)) AS i FROM c)) SEMI JOIN g USING (g)) SELECT item_id, len(t)::INT AS n_tokens, (SELECT count(*) FROM h WHERE h.item_id = c.item_id) AS covered FROM c""")
+def supervised_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    clean = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"))
+    late = F.transform("tokens", lambda _, i: (i >= F.floor(F.size("tokens") / 3)).cast("int"))
+    return tokens.overlap_share(clean, documents(spark, sf).select("tokens", late.alias("mask")), 8, 4, "item_id", "mask")
+
+
+@register("over_row_limit", f"SELECT doc_id, len({DOC_TOKENS}) + 1 + 2 > 512 AS over FROM documents")
+def over_row_limit(spark: SparkSession, sf: str) -> DataFrame:
+    from textloom.operators.rows import over_limit
+
+    return documents(spark, sf).select("doc_id", over_limit(F.col("tokens"), 512, 2).alias("over"))
+
+
+@register("light_normalized", "SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM benchmark")
+def light_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", T.light_normalize(F.col("text")).alias("text"))

@@ -491,3 +491,29 @@ def token_ids(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = tokens.vocabulary(documents(spark, sf).select("tokens"))
     items = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"))
     return tokens.with_ids(items, vocabulary, "item_id").select("item_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+@register("swap_readings", f"""
+WITH l AS (SELECT g, x, (g % len(x))::INT AS a, ((g + 1) % len(x))::INT AS b FROM ({_LADDER}) WHERE len(x) > 1), r AS (SELECT *, len([v for v in x if v > x[b + 1]]) + 0.5 * (len([v for v in x if v = x[b + 1]]) - 1) AS r FROM l)
+SELECT g, round(r / (len(x) - 1), 6)::DOUBLE AS norm_rank, r = 0 AS follow, round(1 / (1 + exp(x[b + 1] - x[a + 1])), 6) AS mr_ll FROM r""")
+def swap_readings(spark: SparkSession, sf: str) -> DataFrame:
+    own = ladder(spark, sf).where(F.size("x") > 1)
+    place = lambda n: F.pmod(F.col("g") + n, F.size("x")).cast("int")
+    return rounded(own.select("g", R.swap_reading(F.col("x"), place(0), place(1)).alias("r")).select("g", "r.*"), "norm_rank", "mr_ll").withColumn("norm_rank", F.col("norm_rank").cast("double"))
+
+
+@register("ridge_folds", """
+WITH d AS (SELECT doc_id % 4 AS fold, length(text)::DOUBLE / 1000 AS x, strlen(text)::DOUBLE / 900 AS y FROM documents), s AS (SELECT fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy FROM d GROUP BY fold),
+t AS (SELECT f.fold, sum(s.n) AS n, sum(s.sx) / sum(s.n) AS mx, sum(s.sy) / sum(s.n) AS my, sum(s.xx) AS xx, sum(s.xy) AS xy FROM s f JOIN s ON s.fold <> f.fold GROUP BY f.fold), c AS (SELECT fold, (xy - n * mx * my) / (xx - n * mx * mx + 2.0) AS slope, mx, my FROM t), e AS (SELECT fold, slope, my - slope * mx AS icept FROM c)
+SELECT d.fold, count(*) AS n, round(any_value(slope), 6) AS slope, round(any_value(icept), 6) AS intercept, round(avg(pow(y - slope * x - icept, 2)), 6) AS mse FROM d JOIN e USING (fold) GROUP BY d.fold""")
+def ridge_folds(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("fold"), (F.length("text") / 1000).alias("x"), (F.octet_length("text") / 900).alias("y"))
+    return rounded(R.ridge_folds(docs, "x", "y", "fold", 2.0), "slope", "intercept", "mse")
+
+
+@register("relation_plan", f"""
+WITH f AS ({Q._FACTS}), l AS (SELECT DISTINCT relation, object FROM f), z AS (SELECT relation FROM l GROUP BY 1 HAVING count(*) >= 10), o AS (SELECT f.id, f.relation, f.object, list(l.object ORDER BY sha1('42:' || l.object)) AS others FROM f JOIN z USING (relation) JOIN l ON l.relation = f.relation AND NOT list_contains(list_append(f.answers, f.object), l.object) GROUP BY ALL),
+c AS (SELECT *, list_append(list_concat(others, others)[floor({DRAW.format("'42:' || id")} * len(others))::INT + 1:floor({DRAW.format("'42:' || id")} * len(others))::INT + least(5, len(others))], object) AS cs FROM o)
+SELECT id, relation, array_to_string([x.v for x in list_sort([{{'h': sha1('42:' || id || ':' || v), 'v': v}} for v in cs])], '|') AS candidates FROM c""")
+def relation_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return R.relation_plan(Q._facts(spark, sf), 6, 10).withColumn("candidates", F.array_join("candidates", "|"))
