@@ -40,11 +40,21 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows of a file, and the fewest files, of a narrow table whose size is known before it is written.
+FILE_ROWS, FEWEST = 250_000, 8
+
+
 class Stored:
-    """A table written once and read back; ``drop`` removes it when a later one replaces it."""
+    """A table written once and read back; ``drop`` removes it when a later one replaces it.
+
+    With ``rows``, about how many rows there will be, it is dealt into files of FILE_ROWS first: iterations over small tables would
+    else write a file for each shuffle partition every round.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, rows: int | None = None):
         spark = df.sparkSession
+        if rows is not None:
+            df = df.repartition(max(FEWEST, -(-rows // FILE_ROWS)))
         self.spark = spark
         self.path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
@@ -55,9 +65,9 @@ class Stored:
         _remove(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the shared folder and read back, with its lineage cut."""
-    return Stored(df, name).df
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written below the shared folder and read back, with its lineage cut; ``rows`` as for ``Stored``."""
+    return Stored(df, name, rows).df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
