@@ -38,6 +38,12 @@ def test_ties_copies_and_unusable_vectors(spark):
     assert not {1001, 1002, 1003, 1004, 1005, 1006} & (set(got) | {v for vs in got.values() for v in vs})
 
 
+def test_shorter_vectors_count_as_if_zeros_followed(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0, 0.0]), (2, [1.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 6)) for r in got] == [(1, 1.0), (2, 0.5), (3, 0.0)]
+
+
 def test_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     got = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], schema), F.col("vec_id") % 50 == 0).collect()

@@ -68,6 +68,32 @@ def test_layouts(spark):
     assert all(got[i] == (None, []) for i in (7, 8, 9, 10))
 
 
+def test_paths_of_all_elements_count_and_strings_left_out_are_named(spark):
+    records = [
+        {"messages": [{"role": "user"}, {"role": "assistant", "content": "a", "note": "n"}], "system": "be kind", "meta": {"id": "x", "n": 2}},
+        {"unknown": "text", "odd name": [["deep", "er"]]},
+        {"prompt": "p", "response": "r"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {r.conv_id: r for r in C.canonical_records(df).collect()}
+    assert got[0].layout == "messages" and [(t.role, t.text) for t in got[0].turns] == [("user", ""), ("assistant", "a")]
+    assert got[0].unmapped == ["messages[].note", "meta.id", "system"] and got[2].unmapped == []
+    assert got[1].layout is None and got[1].turns == [] and got[1].unmapped == ["odd name", "unknown"]
+    paths = df.select("conv_id", C._paths(F.col("record")).alias("p")).collect()
+    assert sorted(p.path for p in paths[0].p) == ["messages", "messages[].content", "messages[].note", "messages[].role", "meta", "meta.id", "meta.n", "system"]
+
+
+def test_schema_of_a_table_selects_its_row_layout(spark):
+    turns = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (None, 0, None, None)]
+    speakers = spark.createDataFrame(turns, "conversation_id long, position long, `from` string, value string").withColumn("extra", F.lit("e"))
+    got = {r.conv_id: r for r in C.canonical_rows(speakers).collect()}
+    assert got[1].layout == "speaker_rows" and [(t.role, t.text) for t in got[1].turns] == [("user", "q"), ("assistant", "a")] and got[1].unmapped == ["extra"]
+    assert [(t.role, t.text) for t in got[None].turns] == [("", "")]
+    assert C.canonical_rows(speakers.drop("value")).count() == 0 and C.canonical_rows(speakers.where("false")).count() == 0
+    nested = spark.createDataFrame([], "a struct<b:array<struct<c:string,d:int>>>, e array<string>")
+    assert C.schema_paths(nested.schema) == [("a", False), ("a.b[]", False), ("a.b[].c", True), ("a.b[].d", False), ("e[]", True)]
+
+
 def test_escapes_are_reversible(spark):
     rng = random.Random(9)
     parts = ["<|turn|>", "<|text|>", "<|end|>", "<", "\\", "|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[", "é", "\n", "a", "<\\|end|>"]

@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = Stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     state = _state(now.df)
     while state[0]:
-        following = Stored(_small_star(_large_star(now.df)), "edges")
+        following = Stored(_small_star(_large_star(now.df)), "edges", state[0])  # a round never adds edges
         now.drop()
         now, before, state = following, state, _state(following.df)
         if state == before:

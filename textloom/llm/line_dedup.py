@@ -104,7 +104,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     lack = (F.lit(LANES).cast("long") - F.floor(F.col("n") / 2)) * F.lit(_FOUR)
     fp = _joined([F.shiftrightunsigned(F.col(f"c{k}") + lack, 14).bitwiseAND(F.lit(_FOUR)) for k in range(16)])
     short = counts.select(*_PLACE, "k1", "k2", fp.alias("fp"), "size")
-    vast = told(docs.where((F.length("text") > LANES) & F.col("text").rlike(f"[^\\n]{{{LANES + 1}}}"))).where(F.size("w") > LANES)
+    wide = F.exists(_lines(F.col("text")), lambda x: F.length(x) > LANES)
+    vast = told(docs.where((F.length("text") > LANES) & wide)).where(F.size("w") > LANES)
     return short.unionByName(vast.select(*_PLACE, "k1", "k2", simhash_of_runs(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "size"))
 
 

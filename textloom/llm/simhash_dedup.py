@@ -251,9 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    grouped = stored(_classes(distinct).join(distinct, "fp"), "fingerprint-roots")
+    kinds = distinct.count()
+    grouped = stored(_classes(distinct).join(distinct, "fp"), "fingerprint-roots", kinds)
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = stored(grouped.join(lows, "root").select("fp", "component_id"), "fingerprint-classes")
+    classes = stored(grouped.join(lows, "root").select("fp", "component_id"), "fingerprint-classes", kinds)
     return marked.join(hint(classes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -276,5 +277,5 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct(F.col(id_col).isNull().alias("n"), F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(row).alias("r"))
     best = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("place")), "first-of-fingerprint")
     first = best.join(_classes(best.select("fp")), "fp").groupBy("root").agg(F.min("place").alias("place"))
-    kept = stored(first.select(F.col("place.r").alias(row)), "representatives")
+    kept = stored(first.select(F.col("place.r").alias(row)), "representatives", best.count())
     return rows.join(hint(kept), row, "left_semi").drop(fp, row)
