@@ -256,7 +256,8 @@ def pooled(spark: SparkSession, sf: str) -> DataFrame:
     return told.groupBy("type", "norm").agg(F.min_by("form", "id").alias("form"), F.min_by("variant", "id").alias("variant"))
 
 
-@register("counterfactuals", f"""
+#: The same rows in SQL; its join of every answer with every form is too slow for whole tables, so it is a test on small ones.
+COUNTERFACTUALS = f"""
 WITH {_TYPED}, pool AS (SELECT DISTINCT type, arg_min(variant, id) AS variant, arg_min(form, id) AS form FROM v WHERE type <> 'COMMON' AND {_NORM.format('s')} <> '' GROUP BY type, {_NORM.format('s')}),
 k AS (SELECT DISTINCT type || '|' || variant AS pool, form FROM pool WHERE variant <> '' UNION SELECT DISTINCT type, form FROM pool), g AS (SELECT pool, form, row_number() OVER (PARTITION BY pool ORDER BY sha1('42:' || form), form) AS place, count(*) OVER (PARTITION BY pool) AS size FROM k),
 q AS (SELECT id AS qid, s, type, variant, 'Here is ' || CASE WHEN id % 5 = 0 THEN 'x' ELSE s END || ', said twice: ' || CASE WHEN id % 5 = 0 THEN 'y' ELSE s END || '.' AS text FROM v WHERE id % 4 = 0),
@@ -264,7 +265,10 @@ r AS (SELECT *, CASE WHEN s = '' THEN 'unanswerable' WHEN type = 'COMMON' THEN '
 w AS (SELECT r.*, CASE WHEN variant <> '' AND coalesce((SELECT any_value(size) FROM g WHERE g.pool = r.type || '|' || r.variant), 0) >= 20 THEN type || '|' || variant WHEN type NOT IN ('NUMBER', 'PROPER') THEN type END AS pool FROM r WHERE early IS NULL),
 m AS (SELECT w.qid, g.form, (g.place - 1 - floor({DRAW.format("w.qid")} * g.size)::BIGINT + g.size) % g.size AS step FROM w JOIN g ON g.pool = w.pool WHERE NOT contains({_NORM.format('w.s')}, {_NORM.format('g.form')}) AND NOT contains({_NORM.format('g.form')}, {_NORM.format('w.s')}) AND NOT regexp_matches(w.text, '(?i)(^|[^\\pL\\pN\\pM_])' || regexp_escape(g.form) || '($|[^\\pL\\pN\\pM_])')),
 best AS (SELECT qid, arg_min(form, step) AS form FROM m GROUP BY qid)
-SELECT r.qid, coalesce(early, CASE WHEN form IS NULL THEN 'no_substitute' ELSE 'eligible' END) AS reason, CASE WHEN early IS NULL THEN form END AS substitute, CASE WHEN early IS NULL AND form IS NOT NULL THEN 2 END AS n FROM r LEFT JOIN best ON best.qid = r.qid""".replace(DRAW.format("w.qid"), DRAW.format("'42:' || w.qid")))
+SELECT r.qid, coalesce(early, CASE WHEN form IS NULL THEN 'no_substitute' ELSE 'eligible' END) AS reason, CASE WHEN early IS NULL THEN form END AS substitute, CASE WHEN early IS NULL AND form IS NOT NULL THEN 2 END AS n FROM r LEFT JOIN best ON best.qid = r.qid""".replace(DRAW.format("w.qid"), DRAW.format("'42:' || w.qid"))
+
+
+@register("counterfactuals")
 def counterfactuals(spark: SparkSession, sf: str) -> DataFrame:
     told = answers(spark, sf).where("id % 4 = 0")
     said = F.trim("answer")

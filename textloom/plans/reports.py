@@ -197,7 +197,7 @@ def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.bootstrap(pairs.select(F.col("o_orderkey").alias("key"), (F.col("b") - F.col("a")).alias("s"), F.lit(1).alias("n")), "key", 40), "mean", "sigma")
 
 
-@register("generation_summary", f"SELECT count(*) AS n, round(avg((text LIKE '%.')::INT), 6) AS stop_rate, round(avg(len({DOC_TOKENS})), 4) AS mean_length, round(avg((len([i for i in range(1, len({DOC_TOKENS})) if list_contains([{DOC_TOKENS}[j] || ' ' || {DOC_TOKENS}[j + 1] for j in range(1, i)], {DOC_TOKENS}[i] || ' ' || {DOC_TOKENS}[i + 1])]) > 0)::INT), 6) AS repeat_rate FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
+@register("generation_summary", f"WITH t AS (SELECT text, {DOC_TOKENS} AS t FROM conversations WHERE role = 'assistant' AND text IS NOT NULL), g AS (SELECT text, len(t) AS n, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))] AS g FROM t) SELECT count(*) AS n, round(avg((text LIKE '%.')::INT), 6) AS stop_rate, round(avg(n), 4) AS mean_length, round(avg((len(g) <> len(list_distinct(g)))::INT), 6) AS repeat_rate FROM g")
 def generation_summary(spark: SparkSession, sf: str) -> DataFrame:
     said = table(spark, sf, "conversations").where("role = 'assistant' AND text IS NOT NULL").withColumn("t", T.tokens(F.col("text")))
     made = said.select(F.endswith("text", F.lit(".")).alias("stopped"), F.size("t").alias("n_tokens"), T.has_repeated_ngram(F.col("t"), 2).alias("repeats"))
