@@ -116,9 +116,9 @@ def compared(scores: DataFrame, chance: dict[str, float]) -> DataFrame:
     """(task, model, score, headroom, best, mean): each score against its task's chance level, the best of a task, a model's mean headroom."""
     level = F.create_map(*[F.lit(x) for pair in chance.items() for x in pair])[F.col("task")]
     room = scores.withColumn("headroom", (F.col("score") - level) / (1 - level))
-    best = room.groupBy("task").agg(F.max("score").alias("__top"))
-    mean = room.groupBy("model").agg(F.avg("headroom").alias("mean"))
-    return room.join(F.broadcast(best), "task").join(F.broadcast(mean), "model").select("task", "model", "score", "headroom", (F.col("score") == F.col("__top")).alias("best"), "mean")  # a row for each task or model
+    # windows over one reading of the scores: a second one may add up an average in another order, and no score then equals the best
+    top, mean = F.max("score").over(Window.partitionBy("task")), F.avg("headroom").over(Window.partitionBy("model"))
+    return room.select("task", "model", "score", "headroom", (F.col("score") == top).alias("best"), mean.alias("mean"))
 
 
 def consumption_order(files: DataFrame) -> DataFrame:
