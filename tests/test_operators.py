@@ -242,3 +242,10 @@ def test_the_best_score_is_read_once(spark):
     rows = R.compared(scores, {"0": 0.0, "1": 0.0}).collect()
     assert len(rows) == 6 and sorted(r.task for r in rows if r.best) == ["0", "1"]
     assert all(r.best == (r.score == max(x.score for x in rows if x.task == r.task)) for r in rows)
+
+
+def test_ids_of_tokens_over_a_million_occurrences(spark):
+    n = 1 << 20
+    many = lambda token, count: spark.range(8).select(F.array_repeat(F.lit(token), count // 8).alias("tokens"))
+    docs = many("zz", n + 80).unionByName(many("a", n + 8)).unionByName(many("é", n - 8)).unionByName(many("b", n - 8)).unionByName(many("c", 8))
+    assert [(r.token, r.id, r.n) for r in tokens.vocabulary(docs).orderBy("id").collect()] == [("zz", 0, n + 80), ("a", 1, n + 8), ("b", 2, n - 8), ("é", 3, n - 8), ("c", 4, 8)]

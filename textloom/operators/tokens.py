@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.operators.mixing import running_total
 from textloom.sizes import hint
 
+#: Occurrences from which tokens are numbered together.
+COMMON = 1 << 20
+
 
 def windows(docs: DataFrame, width: int, least: int, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(key, window, start, tokens): consecutive windows of a document, a last one under ``least`` tokens dropped."""
@@ -45,8 +48,9 @@ def vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     counts = docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     # counts alone would leave all that occur once in one bucket, so the code point that a token begins with cuts each further
     first = F.ascii("token")
-    twice = F.least(F.col("n"), F.lit(1 << 20))
-    ordered = running_total(counts, -twice * (1 << 21) + first, [F.desc("n"), F.col("token")], F.lit(1), "id")
+    # the few tokens that occur more often than COMMON are one bucket, whatever they begin with
+    bucket = F.when(F.col("n") < COMMON, first - F.col("n") * (1 << 21)).otherwise(F.lit(-COMMON * (1 << 21)))
+    ordered = running_total(counts, bucket, [F.desc("n"), F.col("token")], F.lit(1), "id")
     return ordered.select("token", (F.col("id") - 1).alias("id"), "n")
 
 
