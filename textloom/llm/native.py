@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.functions.text import let  # noqa: F401  for the operators here
 from textloom.sizes import hint, small  # noqa: F401  for the operators here
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value computed once; inside a lambda a plain column would be computed anew for each element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textloom.functions.text import draw, order_key, sigmoid_ratio
+from textloom.functions.text import draw, let, order_key, sigmoid_ratio
 from textloom.operators.metrics import binomial_sigma
 from textloom.operators.mixing import hash_bucket, running_total
 
@@ -114,24 +114,28 @@ def shortcut_pickers(question: Column, answer: Column, relations: Column, facts:
     final_object among all objects of the final relation, recurring_subject among those whose subject occurs twice or more, penultimate_fed
     among the distinct ones whose subject is an object of the relation before, random among the candidates.
     """
-    final = F.element_at(relations, -1)
-    ends = F.filter(facts, lambda f: f["r"] == final)
-    objects = F.transform(ends, lambda f: f["o"])
-    candidates = F.array_distinct(objects)
+    last = F.element_at(relations, -1)
+    before = F.when(F.size(relations) >= 2, F.element_at(F.slice(relations, 1, F.greatest(F.size(relations) - 1, F.lit(1))), -1))
+    # each is computed once: as plain columns they would be built anew for every element that a lambda looks at
+    told = lambda facts, final, before, question: let(F.filter(facts, lambda f: f["r"] == final), lambda ends: let(F.transform(ends, lambda f: f["o"]), lambda objects: let(F.array_distinct(objects), lambda candidates: let(F.flatten(F.transform(facts, lambda f: F.array(f["s"], f["o"]))), lambda named: _picked(question, answer, facts, before, ends, objects, candidates, named)))))
+    return let(facts, lambda fs: let(last, lambda final: let(F.coalesce(before, F.lit("")), lambda own: let(F.lower(question), lambda q: told(fs, final, own, q)))))
+
+
+def _picked(question: Column, answer: Column, facts: Column, before: Column, ends: Column, objects: Column, candidates: Column, named: Column) -> Column:
+    """The pickers' shares from the parts that ``shortcut_pickers`` names; the question in lower case, before the relation before the last."""
     chance = 1.0 / F.size(candidates)
-    share = lambda pool: F.when(F.array_contains(pool, answer), 1.0 / F.size(pool)).otherwise(0.0)
-    named = F.flatten(F.transform(facts, lambda f: F.array(f["s"], f["o"])))
+    share = lambda pool: let(pool, lambda p: F.when(F.array_contains(p, answer), 1.0 / F.size(p)).otherwise(0.0))
     count = lambda x: F.size(F.filter(named, lambda n: n == x))
     counted = F.transform(candidates, lambda c: F.struct(c.alias("c"), count(c).alias("n")))
-    of = lambda best: share(F.transform(F.filter(counted, lambda x: x["n"] == best(F.transform(counted, lambda y: y["n"]))), lambda x: x["c"]))
-    subject = F.filter(facts, lambda f: F.contains(F.lower(question), F.lower(f["s"])) & F.array_contains(candidates, f["o"]))
+    of = lambda best: let(counted, lambda cs: let(best(F.transform(cs, lambda y: y["n"])), lambda m: share(F.transform(F.filter(cs, lambda x: x["n"] == m), lambda x: x["c"]))))
+    subject = F.filter(facts, lambda f: F.array_contains(candidates, f["o"]) & F.contains(question, F.lower(f["s"])))
     recurring = F.transform(F.filter(ends, lambda f: count(f["s"]) > 1), lambda f: f["o"])
-    before = F.when(F.size(relations) >= 2, F.element_at(F.slice(relations, 1, F.greatest(F.size(relations) - 1, F.lit(1))), -1))
-    feeders = F.transform(F.filter(facts, lambda f: f["r"] == F.coalesce(before, F.lit(""))), lambda f: f["o"])
-    fed = F.array_distinct(F.transform(F.filter(ends, lambda f: F.array_contains(feeders, f["s"])), lambda f: f["o"]))
+    feeders = F.transform(F.filter(facts, lambda f: f["r"] == before), lambda f: f["o"])
+    fed = let(feeders, lambda objects: F.array_distinct(F.transform(F.filter(ends, lambda f: F.array_contains(objects, f["s"])), lambda f: f["o"])))
+    some = lambda pool: let(pool, lambda p: F.when(F.size(p) > 0, share(p)).otherwise(chance))
     return F.struct(
-        of(F.array_max).alias("frequent"), of(F.array_min).alias("infrequent"), F.when(F.size(subject) > 0, (F.get(subject, F.lit(0))["o"] == answer).cast("double")).otherwise(chance).alias("named_subject"), share(objects).alias("final_object"),
-        F.when(F.size(recurring) > 0, share(recurring)).otherwise(chance).alias("recurring_subject"), F.when(F.size(fed) > 0, share(fed)).otherwise(chance).alias("penultimate_fed"), chance.alias("random"),
+        of(F.array_max).alias("frequent"), of(F.array_min).alias("infrequent"), let(subject, lambda s: F.when(F.size(s) > 0, (F.get(s, F.lit(0))["o"] == answer).cast("double")).otherwise(chance)).alias("named_subject"), share(objects).alias("final_object"),
+        some(recurring).alias("recurring_subject"), some(fed).alias("penultimate_fed"), chance.alias("random"),
     )
 
 

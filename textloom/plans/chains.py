@@ -60,7 +60,9 @@ g AS (SELECT qid, chain, [z.f for z in list_sort([{{'h': sha1('42:' || qid || ':
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    return C.questions(table(spark, sf, "customer").select(F.col("c_custkey").alias("qid")), C.compositions(_relations(spark), 2), 8)
+    # ids are few bytes and lie in few files, but a question of each is much work
+    ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("qid")).repartition(max(8, 4 * spark.sparkContext.defaultParallelism))
+    return C.questions(ids, C.compositions(_relations(spark), 2), 8)
 
 
 def _asked(chain: str = "chain") -> F.Column:
