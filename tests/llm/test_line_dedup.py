@@ -201,3 +201,15 @@ def test_one_word_replaced(spark):
     assert all(alike(*p) for p in pairs)
     assert got == {2 * i + 1 for i, (a, b) in enumerate(pairs) if meet(brute_print(a), brute_print(b))}
     assert [sum(2 * i + 1 in got for i in range(40 * k, 40 * k + 40)) >= share * 40 for k, share in enumerate((0.35, 0.6, 0.75))] == [True] * 3
+
+
+def test_neighbouring_bands_meet_once(spark):
+    """Lines of one block meet in one bucket of it if their classes of length are the same or neighbours, and in two or more never."""
+    rows = spark.range(12).select(F.col("id").cast("int").alias("size"), F.explode(L._buckets(F.lit(7).cast("long"), F.col("id").cast("int"))).alias("b")).select("size", "b.*").collect()
+    met = defaultdict(int)
+    for a in rows:
+        for b in rows:
+            if a.key == b.key and a.own and (not b.own or a.size <= b.size):
+                met[min(a.size, b.size), max(a.size, b.size)] += 1
+    assert all(met[n, n] == 4 for n in range(12)) and all(met[n, n + 1] == 4 for n in range(11))
+    assert sum(r.own for r in rows) == 48 and all(b - a <= L.BAND for a, b in met)

@@ -6,8 +6,8 @@ block that they share: two fingerprints within three differing bits share one fo
 are verified by edit similarity, at any length, and one occurrence of each connected group stays.
 
 Bits are counted by exploding words into rows and adding them up in lanes of 16 bits, four bits to a long, so the work is one code-generated
-aggregation. Where a bucket holds a crowded class of length (a family of near copies, or a large table), its lines are first compared with
-one head for each class of length, their own and the next; only lines that this leaves in different groups are then compared with each
+aggregation. A bucket is a block's bits and a band of classes of length. Where one is crowded (a family of near copies, or a large table), its lines
+are first compared with one head for each class of length, their own and the next; only lines that this leaves in different groups are then compared with each
 other. That finds the same groups, and a bucket of copies costs a few comparisons per line and not one per pair. Unlike lines still meet by
 chance, as 16 bits are few: such meetings, a comparison of two longs each, grow with the square of the distinct lines over 16,384 buckets.
 """
@@ -26,8 +26,10 @@ GRAM = 3
 SIMILARITY = 0.8
 #: Most differing bits of a pair that is verified. A pair that met by chance has some 24 of the 48 bits outside the shared block different.
 MAX_BITS = 12
-#: Lines of one bucket and one class of length from which the bucket is compared by heads first; the groups found are the same.
-CROWD = 32
+#: Lines of one bucket from which the bucket is compared by heads first; the groups found are the same.
+CROWD = 64
+#: Neighbouring classes of length that share a bucket.
+BAND = 3
 #: What stands between words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most features counted in lanes of 16 bits; the rare line with more is counted by runs of RUN in lanes of 8 bits, with the same result.
@@ -109,10 +111,17 @@ def line_table(docs: DataFrame) -> DataFrame:
     return short.unionByName(vast.select(*_PLACE, "k1", "k2", simhash_of_runs(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "size"))
 
 
-def _block_keys(fp: Column, size: Column) -> Column:
-    """For each block a long of its number, its bits and the class of length."""
+def _buckets(fp: Column, size: Column) -> Column:
+    """(key, own) of the buckets of a line: for each block a long of its number, its bits and the band of BAND classes of length.
+
+    A line of the lowest class of a band also stands, not as its own, in the band below, so lines of neighbouring classes meet.
+    """
     block = lambda i: F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*(F.shiftleft(F.lit(c << 16).cast("long") + block(c), 8) + size for c in range(4)))
+    band = F.floor(size / BAND)
+    key = lambda c, b: F.shiftleft(F.lit(c << 16).cast("long") + block(c), 8) + b
+    own = [F.struct(key(c, band).alias("key"), F.lit(True).alias("own")) for c in range(4)]
+    below = [F.struct(key(c, band - 1).alias("key"), F.lit(False).alias("own")) for c in range(4)]
+    return F.when((size % BAND == 0) & (band > 0), F.array(*own, *below)).otherwise(F.array(*own))
 
 
 def _middles(a: Column, b: Column, then) -> Column:
@@ -216,15 +225,20 @@ def _connecting(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, rounds: int
     return pairs.select("u", "v").where("false") if links is None else links
 
 
-def _near(a: str, b: str) -> Column:
+def _close(a: str, b: str) -> Column:
     """Whether two rows of one bucket are worth verifying."""
     return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= 1) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MAX_BITS)
 
 
+def _near(a: str, b: str) -> Column:
+    """Whether two rows stand in one bucket, the first as its own, and are worth verifying."""
+    return (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.own") & _close(a, b)
+
+
 def _first_shared(a: str, b: str) -> Column:
     """Whether the bucket's block is the first that two rows share, so that a pair comes once."""
     x = F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))
-    block = F.shiftright(F.col(f"{a}.key"), 16)
+    block = F.shiftright(F.col(f"{a}.key"), 24)
     found = F.lit(True)
     for c in range(3):
         found = found & ((block <= c) | (F.shiftrightunsigned(x, 16 * c).bitwiseAND(F.lit(0xFFFF)) != 0))
@@ -241,21 +255,18 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("p", place)
     one = [F.min_by(c, "p").alias(c) for c in ("d1", "d2", "line")]
     kinds = stored(marked.groupBy("k1", "k2").agg(F.count("*").alias("n"), *one, F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
-    packed = kinds.select(F.explode(_block_keys(F.col("fp"), F.col("size"))).alias("packed"), "k1", "fp")
-    key = F.shiftright("packed", 8)
-    crowded = packed.groupBy("packed").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(key.alias("key")).distinct()
-    crowded = hint(stored(crowded, "line-crowds"))
-    dealt = packed.select(key.alias("key"), F.col("packed").bitwiseAND(F.lit(255)).cast("int").alias("size"), "k1", "fp")
+    dealt = kinds.select(F.explode(_buckets(F.col("fp"), F.col("size"))).alias("bucket"), "size", "k1", "fp").select("bucket.*", "size", "k1", "fp")
+    crowded = hint(stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "line-crowds"))
     plain = dealt.join(crowded, "key", "left_anti").repartition("key")
     a, b = plain.alias("a"), plain.alias("b")
-    once = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.k1") < F.col("b.k1")) & _near("a", "b") & _first_shared("a", "b"))
+    # two lines of one band meet there as their own, two of neighbouring bands only in the lower
+    ahead = ~F.col("b.own") | (F.col("a.k1") < F.col("b.k1"))
+    once = a.join(b, _near("a", "b") & ahead & _first_shared("a", "b"))
 
     met = stored(dealt.join(crowded, "key", "left_semi"), "line-buckets")
-    cells = met.groupBy("key", "size").agg(F.min("k1").alias("head"), F.min_by("fp", "k1").alias("head_fp"))
-    heads = cells.groupBy("key").agg(F.collect_list(F.struct(F.col("size"), F.col("head").alias("k1"), F.col("head_fp").alias("fp"))).alias("heads"))
-    heads = stored(heads, "line-heads")
-    tried = met.alias("a").join(hint(heads), "key").select("a.*", F.explode("heads").alias("b")).where((F.col("k1") != F.col("b.k1")) & (F.abs(F.col("size") - F.col("b.size")) <= 1) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS))
-    star = tried.select(*_pair("k1", "b.k1"), F.bit_count(F.col("fp").bitwiseXOR(F.col("b.fp"))).alias("h")).distinct()
+    heads = stored(met.groupBy("key", "size").agg(F.min_by(F.struct("k1", "fp"), "k1").alias("head")).select("key", "size", "head.*"), "line-heads")
+    tried = met.alias("a").join(hint(heads).alias("b"), _near("a", "b") & (F.col("a.k1") != F.col("b.k1")))
+    star = tried.select(*_pair("a.k1", "b.k1"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("h")).distinct()
     tried = stored(once.select(F.col("a.k1").alias("u"), F.col("b.k1").alias("v"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("h")).unionByName(star), "line-pairs")
     first_links = _connecting(tried, kinds, docs)
     roots = stored(connected_components(first_links), "line-roots")
@@ -264,7 +275,9 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     mains = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     mixed = stored(classed.join(hint(stored(mains, "line-mains")), "key"), "line-mixed")
     a, b = mixed.where(F.col("class") != F.col("main")).alias("a"), mixed.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & _near("a", "b") & _first_shared("a", "b")
+    # a stands outside the main class, whichever of the two is in its own band
+    met_so = (F.col("a.key") == F.col("b.key")) & (F.col("a.own") | F.col("b.own")) & _close("a", "b")
+    apart = met_so & (F.col("a.class") != F.col("b.class")) & _first_shared("a", "b")
     crossing = a.join(b, apart & ((F.col("a.k1") < F.col("b.k1")) | (F.col("b.class") == F.col("b.main"))))
     more = stored(crossing.select(*_pair("a.k1", "b.k1")).distinct(), "line-pairs")
     more = stored(more.join(first_links, ["u", "v"], "left_anti"), "line-pairs")
