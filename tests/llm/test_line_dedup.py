@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import line_dedup as L
+from textloom.llm.components import connected_components
 
 SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -213,3 +214,41 @@ def test_neighbouring_bands_meet_once(spark):
                 met[min(a.size, b.size), max(a.size, b.size)] += 1
     assert all(met[n, n] == 4 for n in range(12)) and all(met[n, n + 1] == 4 for n in range(11))
     assert sum(r.own for r in rows) == 48 and all(b - a <= L.BAND for a, b in met)
+
+
+def test_anchors_of_many_words_of_a_small_vocabulary(spark):
+    rng = random.Random(8)
+    a = [rng.choice([f"w{i}" for i in range(60)]) for _ in range(2000)]
+    b = [w if rng.random() > 0.02 else "changed" for w in a]
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(L._anchored(F.col("a"), F.col("b")).alias("x"))
+    # at most the words that differ, each with its neighbours of a run
+    assert df.first().x <= 0.1 * len(" ".join(a))
+
+
+def test_ends_refuse_only_unlike_lines(spark, monkeypatch):
+    """Pairs about as far apart as is allowed, with unlike beginnings or ends, by either order of the comparisons."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randrange(1, 6)))
+    pairs = []
+    for n in range(150):
+        a = [word() for _ in range(30)]
+        least = rng.randrange(0, 24)
+        share = rng.choice([3, 5, 6, 7, 8, 10])
+        b = a[:least] + [word() for _ in range(share)] + a[least + share - rng.randrange(-1, 2) :]
+        pairs.append((" ".join(a), " ".join(b)))
+    want = [alike(*p) for p in pairs]
+    assert 20 < sum(want) < 130
+    monkeypatch.setattr(L, "ANCHORED", 0)
+    for fronted in (0, 1 << 20):
+        monkeypatch.setattr(L, "FRONTED", fronted)
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", L._alike(F.col("a"), F.col("b")).alias("x"))
+        assert [r.x for r in sorted(df.collect())] == want
+
+
+def test_groups_by_rounds_and_on_the_driver(spark):
+    rng = random.Random(10)
+    edges = [(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    by = [sorted(connected_components(df, n).collect()) for n in (0, 1 << 17)]
+    assert by[0] == by[1] and len(by[0]) > 100
+    assert connected_components(df.where("false"), 1 << 17).count() == 0

@@ -31,12 +31,18 @@ CROWD = 64
 #: Neighbouring classes of length that share a bucket.
 BAND = 3
 #: What stands between words, after lower-casing.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[^a-z0-9\x80-\x{10FFFF}]+"
 #: Most features counted in lanes of 16 bits; the rare line with more is counted by runs of RUN in lanes of 8 bits, with the same result.
 LANES = 16_383
 RUN = 127
 #: Lines over ANCHORED characters are compared by anchors first; stretches between anchors are compared up to STRETCH.
 ANCHORED, STRETCH = 120, 4000
+#: Words of a line from which its anchors are runs of words.
+MANY = 300
+#: Lines of up to FRONTED characters are first compared by their beginnings, longer ones by their anchors; of both ends that share is compared.
+FRONTED, SHARE = 600, 0.45
+#: Most links whose groups are settled on the driver; more are settled by rounds of joins.
+ON_DRIVER = 1 << 17
 _EIGHT, _FOUR, _TWO = 0x0101010101010101, 0x0001000100010001, 0x0000000100000001
 _PLACE = ["doc_id", "d1", "d2", "line"]
 
@@ -85,30 +91,31 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2, line, k1, k2, fp, size) of every line with a word; ``docs`` has doc_id and text.
-
-    size is the class of the line's length: alike lines differ by one class at most.
-    """
+    """(doc_id, d1, d2, line, k1, k2, fp, chars) of every line with a word; ``docs`` has doc_id and text, chars is the line's length."""
 
     def told(source: DataFrame) -> DataFrame:
         exploded = source.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
         said = exploded.select(*_PLACE, words(F.col("raw")).alias("w")).withColumn("n", F.size("w"))
-        size = F.floor(F.log(F.greatest(F.length(F.array_join("w", " ")), F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
         features = F.array_distinct(F.when(F.col("n") < MIN_WORDS, _grams(F.array_join("w", " "))).otherwise(F.col("w")))
-        return said.select(*_PLACE, F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), size.alias("size"), F.when(F.col("n") > 0, features).alias("w"))
+        return said.select(*_PLACE, F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.length(F.array_join("w", " ")).alias("chars"), F.when(F.col("n") > 0, features).alias("w"))
 
     said = told(docs)
-    each = said.select(*_PLACE, "k1", "k2", "size", F.explode(F.when(F.size("w") <= LANES, F.col("w"))).alias("x")).withColumn("h", F.xxhash64("x"))
+    each = said.select(*_PLACE, "k1", "k2", "chars", F.explode(F.when(F.size("w") <= LANES, F.col("w"))).alias("x")).withColumn("h", F.xxhash64("x"))
     lane = lambda k: F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_FOUR))).alias(f"c{k}")
-    keep = [F.max(c).alias(c) for c in ("k1", "k2", "size")]
+    keep = [F.max(c).alias(c) for c in ("k1", "k2", "chars")]
     counts = each.groupBy(*_PLACE).agg(*keep, F.count("*").alias("n"), *(lane(k) for k in range(16)))
     # what a count lacks of half is added to LANES, which moves the answer into bit 14 of its lane
     lack = (F.lit(LANES).cast("long") - F.floor(F.col("n") / 2)) * F.lit(_FOUR)
     fp = _joined([F.shiftrightunsigned(F.col(f"c{k}") + lack, 14).bitwiseAND(F.lit(_FOUR)) for k in range(16)])
-    short = counts.select(*_PLACE, "k1", "k2", fp.alias("fp"), "size")
+    short = counts.select(*_PLACE, "k1", "k2", fp.alias("fp"), "chars")
     wide = F.exists(_lines(F.col("text")), lambda x: F.length(x) > LANES)
     vast = told(docs.where((F.length("text") > LANES) & wide)).where(F.size("w") > LANES)
-    return short.unionByName(vast.select(*_PLACE, "k1", "k2", simhash_of_runs(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "size"))
+    return short.unionByName(vast.select(*_PLACE, "k1", "k2", simhash_of_runs(F.transform("w", lambda x: F.xxhash64(x))).alias("fp"), "chars"))
+
+
+def _class(chars: Column) -> Column:
+    """The class of a line's length: alike lines differ by one class at most."""
+    return F.floor(F.log(F.greatest(chars, F.lit(1))) / F.log(F.lit(1 / SIMILARITY))).cast("int")
 
 
 def _buckets(fp: Column, size: Column) -> Column:
@@ -140,11 +147,14 @@ def _middles(a: Column, b: Column, then) -> Column:
 def _anchored(x: Column, y: Column) -> Column:
     """A number that the edit distance of two word arrays, a space after each word, isn't over; for arrays of up to a million words.
 
-    Words that stand once in each are anchors; the distances of what lies between them are added up. Between words far apart, where that
+    Words that stand once in each are anchors (in arrays of over MANY words, where few words do, those that begin a run of four which stands
+    once in each); the distances of what lies between them are added up. Between words far apart, where that
     would be a long comparison of its own, the longer length is taken. Words are sorted as longs: 43 bits of a hash, the side, the place.
     """
     high, side, place = F.lit(-1 << 21), F.lit(1 << 20), F.lit((1 << 20) - 1)
-    coded = lambda a, bit: F.transform(a, lambda w, i: F.xxhash64(w).bitwiseAND(high).bitwiseOR(i.cast("long") + bit))
+    many = F.greatest(F.size(x), F.size(y)) > MANY
+    run = lambda a, w, i: F.when(many, F.xxhash64(w, F.get(a, i + 1), F.get(a, i + 2), F.get(a, i + 3))).otherwise(F.xxhash64(w))
+    coded = lambda a, bit: F.transform(a, lambda w, i: run(a, w, i).bitwiseAND(high).bitwiseOR(i.cast("long") + bit))
     alike = lambda a, b: a.bitwiseXOR(b).bitwiseAND(high) == 0
     apart = lambda s, k, e: ~F.coalesce(alike(F.get(s, k), e), F.lit(False))
     pair = lambda s, k, e: F.when(~apart(s, k + 1, e) & (e.bitwiseAND(side) == 0) & (F.get(s, k + 1).bitwiseAND(side) != 0) & apart(s, k - 1, e) & apart(s, k + 2, e), F.shiftleft(e.bitwiseAND(place), 21) + F.get(s, k + 1).bitwiseAND(place))
@@ -172,24 +182,37 @@ def _alike(a: Column, b: Column) -> Column:
     """Whether two normalised lines have an edit similarity of SIMILARITY or more.
 
     The comparison takes the square of the length. Lines over ANCHORED are therefore accepted without it where their anchors prove them
-    alike, as they mostly do for copies with some edits; for others their common first and last words are taken off before it.
+    alike, as they mostly do for copies with some edits. Others are refused where their beginnings or ends already differ by too much: with as
+    many characters taken off the end (or the beginning) of both, two texts are no further apart than before, since what is taken off
+    differs in length by no more than the rest was stretched. For what is left common first and last words are taken off.
     """
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
     whole = lambda x, y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | _within(m, n, most))
     sized = lambda x, y: F.greatest(F.size(x), F.size(y)) < 1 << 20
-    long = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: (sized(x, y) & (_anchored(x, y) <= most)) | whole(x, y)))
-    return F.when(longest <= ANCHORED, _within(a, b, most)).otherwise(long)
-
-
-def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs whose lines are alike; texts are fetched from one document of each line."""
-    needed = stored(pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct().join(kinds.select("k1", "d1", "d2", "line"), "k1").dropDuplicates(["k1"]), "line-needs")
+    parts = lambda then: let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: then(x, y)))
+    anchored = parts(lambda x, y: sized(x, y) & (_anchored(x, y) <= most))
+    left = F.floor(longest * (1 - SHARE)).cast("int")
+    front = lambda x: x.substr(F.lit(1), F.greatest(F.length(x) - left, F.lit(0)))
+    back = lambda x: x.substr(left + 1, F.length(x))
+    apart = lambda end: ~_within(end(a), end(b), most)
+    brief = longest <= FRONTED
+    long = F.when(brief & apart(front), False).when(anchored, True).when(~brief & apart(front), False).when(apart(back), False).otherwise(parts(whole))
+    return F.when(F.abs(F.length(a) - F.length(b)) > most, False).when(longest <= ANCHORED, _within(a, b, most)).otherwise(long)
+
+
+def _texts(pairs: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """(k1, s): the normalised lines of pairs, fetched from one document of each line."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct().join(kinds.select("k1", "d1", "d2", "line"), "k1").dropDuplicates(["k1"])
     places = needed.groupBy("d1", "d2").agg(F.collect_list(F.struct("line", "k1")).alias("places"))
     keyed = docs.select(*_doc_key(F.col("doc_id"), F.col("text")), "text")
     found = keyed.join(hint(stored(places, "line-places")), ["d1", "d2"])
     picked = let(_lines(F.col("text")), lambda ls: F.transform("places", lambda p: F.struct(p["k1"].alias("k1"), normalised(ls[p["line"]]).alias("s"))))
-    texts = stored(found.select(F.explode(picked).alias("x")).select("x.k1", "x.s").dropDuplicates(["k1"]), "line-texts")
+    return stored(found.select(F.explode(picked).alias("x")).select("x.k1", "x.s").dropDuplicates(["k1"]), "line-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of the pairs whose lines are alike."""
     both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("s").alias("su")), "u").join(texts.select(F.col("k1").alias("v"), F.col("s").alias("sv")), "v")
     # dealt anew, as the costly comparisons else follow the joins' keys
     return stored(both.repartition("u", "v").where(_alike(F.col("su"), F.col("sv"))).select("u", "v"), "line-links")
@@ -201,7 +224,7 @@ def _connecting(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, rounds: int
     A pair whose lines are connected already needs no comparison. First each line is compared with its nearest candidate by h, then one
     pair of each two groups that are left, the nearest, and at last all pairs that still lie between groups.
     """
-    links, left, roots = None, pairs, None
+    links, left, roots, texts = None, pairs, None, _texts(pairs, kinds, docs)
     for at in range(rounds + 1):
         if at == 0:
             ends = left.select("u", "v", "h", F.explode(F.array("u", "v")).alias("own"))
@@ -213,11 +236,11 @@ def _connecting(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, rounds: int
         best = stored(best, "line-tried")
         if not best.take(1):
             break
-        found = _verified(best, kinds, docs)
+        found = _verified(best, texts)
         links = found if links is None else links.unionByName(found)
         if at == rounds:
             break
-        roots = hint(stored(connected_components(links), "line-roots"))
+        roots = hint(stored(connected_components(links, ON_DRIVER), "line-roots"))
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"__{c}"))
         rest = left.select("u", "v", "h").join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
         a, b = F.coalesce("__u", "u"), F.coalesce("__v", "v")
@@ -227,7 +250,8 @@ def _connecting(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, rounds: int
 
 def _close(a: str, b: str) -> Column:
     """Whether two rows of one bucket are worth verifying."""
-    return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= 1) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MAX_BITS)
+    chars = F.col(f"{a}.chars"), F.col(f"{b}.chars")
+    return (F.abs(chars[0] - chars[1]) <= F.floor(F.greatest(*chars) * (1 - SIMILARITY) + 1e-9)) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= MAX_BITS)
 
 
 def _near(a: str, b: str) -> Column:
@@ -254,8 +278,8 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     place = F.xxhash64("d1", "d2", "line")
     marked = lines.withColumn("p", place)
     one = [F.min_by(c, "p").alias(c) for c in ("d1", "d2", "line")]
-    kinds = stored(marked.groupBy("k1", "k2").agg(F.count("*").alias("n"), *one, F.min("fp").alias("fp"), F.min("size").alias("size")), "line-kinds")
-    dealt = kinds.select(F.explode(_buckets(F.col("fp"), F.col("size"))).alias("bucket"), "size", "k1", "fp").select("bucket.*", "size", "k1", "fp")
+    kinds = stored(marked.groupBy("k1", "k2").agg(F.count("*").alias("n"), *one, F.min("fp").alias("fp"), F.min("chars").alias("chars")), "line-kinds")
+    dealt = kinds.select(F.explode(_buckets(F.col("fp"), _class(F.col("chars")))).alias("bucket"), "chars", "k1", "fp").select("bucket.*", "chars", "k1", "fp")
     crowded = hint(stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "line-crowds"))
     plain = dealt.join(crowded, "key", "left_anti").repartition("key")
     a, b = plain.alias("a"), plain.alias("b")
@@ -264,12 +288,12 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     once = a.join(b, _near("a", "b") & ahead & _first_shared("a", "b"))
 
     met = stored(dealt.join(crowded, "key", "left_semi"), "line-buckets")
-    heads = stored(met.groupBy("key", "size").agg(F.min_by(F.struct("k1", "fp"), "k1").alias("head")).select("key", "size", "head.*"), "line-heads")
+    heads = stored(met.groupBy("key", _class(F.col("chars"))).agg(F.min_by(F.struct("k1", "fp", "chars"), "k1").alias("head")).select("key", "head.*"), "line-heads")
     tried = met.alias("a").join(hint(heads).alias("b"), _near("a", "b") & (F.col("a.k1") != F.col("b.k1")))
     star = tried.select(*_pair("a.k1", "b.k1"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("h")).distinct()
     tried = stored(once.select(F.col("a.k1").alias("u"), F.col("b.k1").alias("v"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("h")).unionByName(star), "line-pairs")
     first_links = _connecting(tried, kinds, docs)
-    roots = stored(connected_components(first_links), "line-roots")
+    roots = stored(connected_components(first_links, ON_DRIVER), "line-roots")
     classed = met.join(hint(roots), F.col("k1") == F.col("node"), "left").withColumn("class", F.coalesce("root", "k1")).drop("node", "root")
     sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
@@ -282,7 +306,7 @@ def line_groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     more = stored(crossing.select(*_pair("a.k1", "b.k1")).distinct(), "line-pairs")
     more = stored(more.join(first_links, ["u", "v"], "left_anti"), "line-pairs")
     if more.take(1):
-        roots = stored(connected_components(first_links.unionByName(_verified(more, kinds, docs))), "line-roots")
+        roots = stored(connected_components(first_links.unionByName(_verified(more, _texts(more, kinds, docs))), ON_DRIVER), "line-roots")
     return kinds.join(hint(roots), kinds.k1 == roots.node, "left").select("k1", "k2", "n", "root")
 
 
