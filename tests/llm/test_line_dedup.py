@@ -252,3 +252,43 @@ def test_groups_by_rounds_and_on_the_driver(spark):
     by = [sorted(connected_components(df, n).collect()) for n in (0, 1 << 17)]
     assert by[0] == by[1] and len(by[0]) > 100
     assert connected_components(df.where("false"), 1 << 17).count() == 0
+
+
+def test_pieces_and_words_bound_the_edit_distance(spark):
+    """Lines that repeat themselves have no anchors; what is added up over pieces, or proved by words, is never less than their distance."""
+    rng = random.Random(11)
+    rows = []
+    for n in range(60):
+        part = ["".join(rng.choices("abcd", k=rng.randrange(1, 6))) for _ in range(6)]
+        a = part * 12
+        b = [w for w in a if rng.random() > 0.03 * (n % 4)]
+        rows.append((a, [*b, *part[: n % 3]], rng.randrange(5, 120)))
+    text = lambda c: F.concat(F.array_join(c, " "), F.lit(" "))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, most int")
+    bounds = [L._pieced(text("a"), text("b"), size, F.lit(1 << 20)).alias(f"p{size}") for size in (30, 100)]
+    found = df.select("a", "b", "most", *bounds, L._spelled(F.col("a"), F.col("b"), F.col("most")).alias("x")).collect()
+    near = [edit_distance("".join(w + " " for w in r.a), "".join(w + " " for w in r.b)) for r in found]
+    assert all(r.p30 >= d and r.p100 >= d and (d <= r.most or not r.x) for r, d in zip(found, near, strict=True))
+    assert sum(r.x for r in found) > 10 and sum(r.p100 <= 2 * d for r, d in zip(found, near, strict=True)) > 30
+
+
+def test_long_lines_that_repeat_themselves(spark, monkeypatch):
+    """They are proved alike without a comparison of all of them: the one of wholes is taken out here."""
+    rng = random.Random(12)
+    part = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(30)]
+    a = part * 60
+    inner = a[40:-40]
+    spread = [*a[:40], *("other" if i % 30 == 7 else w for i, w in enumerate(inner)), *a[-40:]]
+    late = a[:1000] + [w for i, w in enumerate(a[1000:]) for w in ([w, "as", "is"] if i % 40 == 3 else [w])]
+    rows = [(" ".join(a), " ".join(x)) for x in (spread, late)]
+    within = L._within
+    monkeypatch.setattr(L, "_within", lambda x, y, most: (F.length(x) < 3000) & within(x, y, most))
+    df = spark.createDataFrame(rows, "a string, b string").select(L._alike(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in df.collect()] == [True, True]
+
+
+def test_keys_are_computed_before_lines_are_exploded(spark):
+    """Else the hash of a document's whole text is computed anew for each of its lines."""
+    plan = L.line_table(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("posexplode", 1)
+    assert "xxhash64(doc_id" not in above and "xxhash64(doc_id" in below.split("Generate")[0]

@@ -40,7 +40,11 @@ ANCHORED, STRETCH = 120, 4000
 #: Words of a line from which its anchors are runs of words.
 MANY = 300
 #: Lines of up to FRONTED characters are first compared by their beginnings, longer ones by their anchors; of both ends that share is compared.
-FRONTED, SHARE = 600, 0.45
+FRONTED, SHARE = 1200, 0.45
+#: Pieces that long rests are cut into, tried in this order where there are LEAST_PIECES or more.
+PIECES, LEAST_PIECES = (250, 1000), 8
+#: Most different words of rests that are compared word by word, if they have as many characters as fill LEAST_PIECES of the shortest pieces.
+VOCABULARY = 220
 #: Most links whose groups are settled on the driver; more are settled by rounds of joins.
 ON_DRIVER = 1 << 17
 _EIGHT, _FOUR, _TWO = 0x0101010101010101, 0x0001000100010001, 0x0000000100000001
@@ -90,17 +94,26 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _read(*names: str) -> Column:
+    """True. An array that depends on it is exploded after these columns are computed; generated code else computes them anew for each element."""
+    found = F.lit(True)
+    for c in names:
+        found = found & (F.least(c, F.lit(0)) <= 0)
+    return found
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, d1, d2, line, k1, k2, fp, chars) of every line with a word; ``docs`` has doc_id and text, chars is the line's length."""
 
     def told(source: DataFrame) -> DataFrame:
-        exploded = source.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), F.posexplode(_lines(F.col("text"))).alias("line", "raw"))
-        said = exploded.select(*_PLACE, words(F.col("raw")).alias("w")).withColumn("n", F.size("w"))
-        features = F.array_distinct(F.when(F.col("n") < MIN_WORDS, _grams(F.array_join("w", " "))).otherwise(F.col("w")))
-        return said.select(*_PLACE, F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.length(F.array_join("w", " ")).alias("chars"), F.when(F.col("n") > 0, features).alias("w"))
+        keyed = source.select("doc_id", *_doc_key(F.col("doc_id"), F.col("text")), "text")
+        exploded = keyed.select("doc_id", "d1", "d2", F.posexplode(F.when(_read("d1", "d2"), _lines(F.col("text")))).alias("line", "raw"))
+        said = exploded.select(*_PLACE, words(F.col("raw")).alias("w")).withColumn("n", F.size("w")).withColumn("s", F.array_join("w", " "))
+        features = F.array_distinct(F.when(F.col("n") < MIN_WORDS, _grams(F.col("s"))).otherwise(F.col("w")))
+        return said.select(*_PLACE, F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.length("s").alias("chars"), F.when(F.col("n") > 0, features).alias("w"))
 
     said = told(docs)
-    each = said.select(*_PLACE, "k1", "k2", "chars", F.explode(F.when(F.size("w") <= LANES, F.col("w"))).alias("x")).withColumn("h", F.xxhash64("x"))
+    each = said.select(*_PLACE, "k1", "k2", "chars", F.explode(F.when((F.size("w") <= LANES) & _read("k1", "k2", "chars"), F.col("w"))).alias("x")).withColumn("h", F.xxhash64("x"))
     lane = lambda k: F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_FOUR))).alias(f"c{k}")
     keep = [F.max(c).alias(c) for c in ("k1", "k2", "chars")]
     counts = each.groupBy(*_PLACE).agg(*keep, F.count("*").alias("n"), *(lane(k) for k in range(16)))
@@ -178,26 +191,57 @@ def _within(a: Column, b: Column, most: Column) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
+def _pieced(a: Column, b: Column, size: int, most: Column) -> Column:
+    """A number that the edit distance of two texts isn't over: both are cut into as many pieces, ``size`` characters or so, whose distances are added up.
+
+    Beyond ``most`` the sum goes no further. It is near the distance where edits are spread evenly, as in copies of a text that repeats itself.
+    """
+    count = F.ceil(F.greatest(F.length(a), F.length(b)) / size).cast("int")
+    cut = lambda x, i: F.floor(F.length(x).cast("double") * i / count).cast("int")
+    piece = lambda x, i: x.substr(cut(x, i) + 1, cut(x, i + 1) - cut(x, i))
+    return F.aggregate(numbers(F.lit(0), count - 1), F.lit(0), lambda n, i: F.when(n > most, n).otherwise(n + F.levenshtein(piece(a, i), piece(b, i))))
+
+
+def _spelled(x: Column, y: Column, most: Column) -> Column:
+    """Whether two word arrays, a space after each word, are proved within ``most`` by their words, each read as one character.
+
+    A word more or less or another one is no more edits than the longest word has characters, with its space. Only for up to VOCABULARY words.
+    """
+    longest = F.array_max(F.transform(F.concat(x, y), lambda w: F.length(w))) + 1
+    coded = lambda w, known: F.array_join(F.transform(w, lambda e: F.char(F.array_position(known, e) + 32)), "")
+    return let(F.array_distinct(F.concat(x, y)), lambda known: (F.size(known) <= VOCABULARY) & _within(coded(x, known), coded(y, known), F.floor(most / longest).cast("int")))
+
+
 def _alike(a: Column, b: Column) -> Column:
     """Whether two normalised lines have an edit similarity of SIMILARITY or more.
 
-    The comparison takes the square of the length. Lines over ANCHORED are therefore accepted without it where their anchors prove them
-    alike, as they mostly do for copies with some edits. Others are refused where their beginnings or ends already differ by too much: with as
-    many characters taken off the end (or the beginning) of both, two texts are no further apart than before, since what is taken off
-    differs in length by no more than the rest was stretched. For what is left common first and last words are taken off.
+    The comparison takes the square of the length. Of lines over ANCHORED common first and last words are therefore taken off first, which
+    leaves little of copies with few edits. What is left is accepted where its anchors, or pieces or words of a long rest, prove it alike. Others are
+    refused where their beginnings or ends already differ by too much: with as many characters taken off the end (or the beginning) of both,
+    two texts are no further apart than before, since what is taken off differs in length by no more than the rest was stretched.
     """
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    whole = lambda x, y: _middles(x, y, lambda m, n: (F.greatest(F.length(m), F.length(n)) <= most) | _within(m, n, most))
     sized = lambda x, y: F.greatest(F.size(x), F.size(y)) < 1 << 20
-    parts = lambda then: let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: then(x, y)))
-    anchored = parts(lambda x, y: sized(x, y) & (_anchored(x, y) <= most))
-    left = F.floor(longest * (1 - SHARE)).cast("int")
-    front = lambda x: x.substr(F.lit(1), F.greatest(F.length(x) - left, F.lit(0)))
-    back = lambda x: x.substr(left + 1, F.length(x))
-    apart = lambda end: ~_within(end(a), end(b), most)
-    brief = longest <= FRONTED
-    long = F.when(brief & apart(front), False).when(anchored, True).when(~brief & apart(front), False).when(apart(back), False).otherwise(parts(whole))
+    parts = lambda m, n, then: let(F.split(F.rtrim(m), " "), lambda x: let(F.split(F.rtrim(n), " "), lambda y: then(x, y)))
+
+    def rest(m: Column, n: Column) -> Column:
+        length = F.greatest(F.length(m), F.length(n))
+        end = F.floor(longest * SHARE).cast("int")
+        left = F.greatest(length - end, F.lit(0))
+        front = lambda x: x.substr(F.lit(1), F.greatest(F.length(x) - left, F.lit(0)))
+        back = lambda x: x.substr(left + 1, F.length(x))
+        apart = lambda cut: ~_within(cut(m), cut(n), most)
+        anchored = parts(m, n, lambda x, y: sized(x, y) & (_anchored(x, y) <= most))
+        pieced = F.lit(False)
+        for size in PIECES:
+            pieced = pieced | ((length > size * LEAST_PIECES) & (_pieced(m, n, size, most) <= most))
+        spelled = (length > PIECES[0] * LEAST_PIECES) & parts(m, n, lambda x, y: _spelled(x, y, most))
+        brief = length <= FRONTED
+        chain = F.when(brief & apart(front), False).when(pieced | spelled, True).when(anchored, True).when(length <= end, _within(m, n, most)).when(~brief & apart(front), False).when(apart(back), False).otherwise(_within(m, n, most))
+        return F.when(length <= most, True).when(length <= F.greatest(F.least(end, F.lit(FRONTED)), F.lit(ANCHORED)), _within(m, n, most)).otherwise(chain)
+
+    long = let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: _middles(x, y, rest)))
     return F.when(F.abs(F.length(a) - F.length(b)) > most, False).when(longest <= ANCHORED, _within(a, b, most)).otherwise(long)
 
 
