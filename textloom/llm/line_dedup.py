@@ -35,11 +35,11 @@ GAP = r"[^a-z0-9\x80-\x{10FFFF}]+"
 #: Most features counted in lanes of 16 bits; the rare line with more is counted by runs of RUN in lanes of 8 bits, with the same result.
 LANES = 16_383
 RUN = 127
-#: Lines over ANCHORED characters are compared by anchors first; stretches between anchors are compared up to STRETCH.
+#: Of lines over ANCHORED characters common ends are taken off, and anchors may prove them alike; stretches between anchors are compared up to STRETCH.
 ANCHORED, STRETCH = 120, 4000
 #: Words of a line from which its anchors are runs of words.
 MANY = 300
-#: Lines of up to FRONTED characters are first compared by their beginnings, longer ones by their anchors; of both ends that share is compared.
+#: Rests of up to FRONTED characters are first compared by their beginnings, longer ones by pieces, words and anchors; of both ends that share of the line is compared.
 FRONTED, SHARE = 1200, 0.45
 #: Pieces that long rests are cut into, tried in this order where there are LEAST_PIECES or more.
 PIECES, LEAST_PIECES = (250, 1000), 8
