@@ -292,3 +292,13 @@ def test_keys_are_computed_before_lines_are_exploded(spark):
     plan = L.line_table(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("posexplode", 1)
     assert "xxhash64(doc_id" not in above and "xxhash64(doc_id" in below.split("Generate")[0]
+
+
+def test_unlike_lines_are_refused_by_short_ends(spark, monkeypatch):
+    """Comparisons of over 0.4 of a line are taken out here; without them the line would be found alike."""
+    rng = random.Random(13)
+    pairs = [[" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)) for _ in range(2)] for n in (40, 90, 160)]
+    within = L._within
+    monkeypatch.setattr(L, "_within", lambda x, y, most: (F.length(x) > 2 * most) | within(x, y, most))
+    df = spark.createDataFrame([tuple(p) for p in pairs], "a string, b string").select(L._alike(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in df.collect()] == [False] * 3

@@ -39,8 +39,9 @@ RUN = 127
 ANCHORED, STRETCH = 120, 4000
 #: Words of a line from which its anchors are runs of words.
 MANY = 300
-#: Rests of up to FRONTED characters are first compared by their beginnings, longer ones by pieces, words and anchors; of both ends that share of the line is compared.
-FRONTED, SHARE = 1200, 0.45
+#: Rests of up to FRONTED characters are first compared by their beginnings, longer ones by pieces, words and anchors; of both ends that share of the line is compared,
+#: BRIEF_SHARE of a line up to FRONTED: unlike prose differs in about two thirds of its characters, which is enough to refuse it.
+FRONTED, SHARE, BRIEF_SHARE = 1200, 0.45, 0.36
 #: Pieces that long rests are cut into, tried in this order where there are LEAST_PIECES or more.
 PIECES, LEAST_PIECES = (250, 1000), 8
 #: Most different words of rests that are compared word by word, if they have as many characters as fill LEAST_PIECES of the shortest pieces.
@@ -227,7 +228,7 @@ def _alike(a: Column, b: Column) -> Column:
 
     def rest(m: Column, n: Column) -> Column:
         length = F.greatest(F.length(m), F.length(n))
-        end = F.floor(longest * SHARE).cast("int")
+        end = F.floor(longest * F.when(longest <= FRONTED, BRIEF_SHARE).otherwise(SHARE)).cast("int")
         left = F.greatest(length - end, F.lit(0))
         front = lambda x: x.substr(F.lit(1), F.greatest(F.length(x) - left, F.lit(0)))
         back = lambda x: x.substr(left + 1, F.length(x))
